@@ -2,7 +2,7 @@
 
 Every document is factored against the rest of the corpus; a factor is a maximal run of word windows (35 words) that begin somewhere else too.
 A plain parse against every reference block costs documents times blocks, so blocks are indexed: each window is assigned the smallest of
-its 8-word grams, an anchor, and equal windows have equal anchors. The anchors of the corpus are the index; one anchor's occurrences, with
+its 16-word grams, an anchor, and equal windows have equal anchors. The anchors of the corpus are the index; one anchor's occurrences, with
 the words around each, are a reference block. A document meets only the blocks of its own anchors.
 
 * A block with one occurrence holds no repeat. A block whose occurrences all have the same surroundings is one factor for all of them.
@@ -26,11 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import checkpointed, plain, row_key, table
+from .common import carried, checkpointed, plain, restored, row_key, table
 from .hashing import U, lists, mix, text_chunks, windows, word_hashes, words
 
-WINDOW, GRAM = 35, 8
+WINDOW, GRAM = 35, 16
 
 
 @dataclass
@@ -151,8 +152,8 @@ def _apply(window: int, gram: int, texts: bool):
                     out.append((len(parts), removed, hashlib.sha256(kept).hexdigest(), text.decode() if texts else None))
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, end - row), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), *([batch.column("k1").slice(row, end - row), batch.column("k2").slice(row, end - row), pa.array(columns[3], pa.string())] if texts else [])],
-                    ["doc_id", "n_words", "n_removed", "kept_sha256", *(["k1", "k2", "clean_text"] if texts else [])],
+                    [ids.slice(row, end - row), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), *([batch.column("rest").slice(row, end - row), pa.array(columns[3], pa.string())] if texts else [])],
+                    ["doc_id", "n_words", "n_removed", "kept_sha256", *(["rest", "clean_text"] if texts else [])],
                 )
 
     return run
@@ -167,35 +168,39 @@ def _cut(text: bytes, starts: np.ndarray, cover: np.ndarray) -> bytes:
     return b"".join(text[edge[a] : edge[b]] for a, b in zip(turn[::2], turn[1::2], strict=True)).rstrip()
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(keyed documents, their repeated runs, their single repeated windows); the last two by k1, k2."""
-    keyed = plain(docs).select("doc_id", "text", *row_key())
+def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """Of documents with their row_key(): the repeated runs, and the single repeated windows, by k1, k2."""
     anchors = keyed.select("text", "k1", "k2").mapInArrow(_emit_anchors(window, gram), "a long, c long, k1 long, k2 long, j int")
     blocks = anchors.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("a", (F.col("c0") != F.col("c1")).cast("int").alias("mixed"))
     flagged = anchors.join(blocks, "a").select("k1", "k2", (F.col("j") * 2 + F.col("mixed")).alias("code"))
     factors = checkpointed(flagged.groupBy("k1", "k2").agg(F.collect_set("code").alias("codes")))
-    split = keyed.select("doc_id", "text", "k1", "k2").join(factors.where(F.exists("codes", lambda x: x % 2 == 1)), ["k1", "k2"])
-    loose = split.select("text", "k1", "k2", "codes").mapInArrow(_emit_windows(window, gram), "a long, w long, k1 long, k2 long, at int")
+    split = keyed.join(factors.where(F.exists("codes", lambda x: x % 2 == 1)), ["k1", "k2"])
+    loose = split.mapInArrow(_emit_windows(window, gram), "a long, w long, k1 long, k2 long, at int")
     again = loose.groupBy("a", "w").agg(F.count("*").alias("n")).where("n > 1").select("a", "w")
     starts = loose.join(again, ["a", "w"]).groupBy("k1", "k2").agg(F.collect_set("at").alias("starts"))
-    return keyed, factors, checkpointed(starts)
+    return factors, starts
 
 
-def _applied(docs: DataFrame, window: int, gram: int, texts: bool) -> DataFrame:
-    keyed, factors, starts = repeated_spans(docs, window, gram)
-    kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", k1 long, k2 long, clean_text string" if texts else "")
-    spans = factors.join(starts, ["k1", "k2"], "full")
-    return keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "k1", "k2", "codes", "starts").mapInArrow(_apply(window, gram, texts), kinds)
+def _applied(keyed: DataFrame, window: int, gram: int, kinds: list) -> DataFrame:
+    factors, starts = repeated_spans(keyed, window, gram)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), *kinds])
+    return keyed.join(factors.join(starts, ["k1", "k2"], "full"), ["k1", "k2"], "left").mapInArrow(_apply(window, gram, bool(kinds)), schema)
 
 
 def substring_digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of `docs`."""
-    return _applied(docs, window, gram, texts=False)
+    return _applied(plain(docs).select("doc_id", "text", *row_key()), window, gram, [])
 
 
 def drop_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, k1, k2, n_words, n_removed and the text without its repeated words, for each row of `docs`."""
-    return _applied(docs, window, gram, texts=True)
+    """The same, with rest (the other columns) and clean_text, the text without its repeated words."""
+    held = carried(docs)
+    return _applied(held.select("doc_id", "text", "rest", *row_key()), window, gram, [held.schema["rest"], T.StructField("clean_text", T.StringType())])
+
+
+def clean(docs: DataFrame, **options) -> DataFrame:
+    """`docs` without repeated words."""
+    return restored(drop_substrings(docs, **options), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
