@@ -38,3 +38,16 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
 def plain(docs: DataFrame) -> DataFrame:
     """doc_id and text only, a null text as the empty one: extra columns, whatever their names, stay out of the work."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def carried(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id and text as plain() has them, and all other columns in one struct, `rest`: their names cannot clash with an operator's own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", text)]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*others, F.col(text).isNull().alias("_null_text")).alias("rest"))
+
+
+def restored(found: DataFrame, columns: list[str], text: str = "clean_text") -> DataFrame:
+    """The columns of documents again, with the new text; n_chars follows it."""
+    new = F.when(F.col("rest._null_text"), F.lit(None)).otherwise(F.col(text))
+    out = {"doc_id": F.col("doc_id"), "text": new, "n_chars": F.coalesce(F.length(new), F.lit(0)).cast("long")}
+    return found.select(*(out.get(c, F.col(f"rest.`{c}`")).alias(c) for c in columns))
