@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import evaluation_queries, rollup_queries, scene_queries
+
+QUERIES = evaluation_queries.QUERIES | scene_queries.QUERIES | rollup_queries.QUERIES
+ORACLES = evaluation_queries.ORACLES | scene_queries.ORACLES | rollup_queries.ORACLES
