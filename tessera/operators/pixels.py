@@ -270,12 +270,12 @@ def drawing(seed: int, width: int = 320, height: int = 160) -> np.ndarray:
 
     shift = int(rng.integers(0, 12))
     frame(20, 40 + shift, 96, 90 + shift)
-    frame(180, 40 + shift, 256, 90 + shift)
+    frame(164, 40 + shift, 236, 90 + shift)
     middle = 65 + shift
-    rgb[middle : middle + 2, 96:176] = 0
+    rgb[middle : middle + 2, 96:160] = 0
     for i in range(7):
-        rgb[middle - i : middle + i + 2, 178 - i - 1 : 178 - i] = 0
-    for x in (34, 194):
+        rgb[middle - i : middle + i + 2, 162 - i - 1 : 162 - i] = 0
+    for x in (34, 178):
         for i in range(5):
             rgb[58 + shift : 66 + shift, x + 9 * i : x + 9 * i + 5] = 40
     rgb[100:150, 268:318] = rng.integers(0, 256, (50, 50, 3), dtype=np.uint8)

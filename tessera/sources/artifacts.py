@@ -1,6 +1,7 @@
 """Readers of artifact trees and their long tables (SRC-1..9), and writers (SNK-1..12).
 
-A tree is <root>/<slide>/<iteration>/… and <root>/_diagnostics/<slide>/<iteration>/…; paths become columns. Only Spark's readers touch the files.
+A tree is <root>/<slide>/<iteration>/… and <root>/_diagnostics/<slide>/<iteration>/…; paths become columns. Only Spark's readers touch the files. They pass over names that begin
+with an underscore, so the diagnostics folder is a root of its own.
 """
 
 from __future__ import annotations
@@ -40,9 +41,9 @@ def files(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     return _placed(reader.json(root))
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
+def listing(spark: SparkSession, *roots: str) -> DataFrame:
     """(slide, iteration, root) of all files; root is the folder above the slide."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots)).select("path")
     whole = F.regexp_extract_all("path", F.lit(r"^(.*)/([^/]+)/(iter_[^/]+)/"), 0)
     rows = found.where(F.size(whole) > 0)
     part = lambda i: F.regexp_extract("path", r"^(.*?)/([^/]+)/(iter_[^/]+)/", i)

@@ -9,6 +9,9 @@ from tessera.plans import rollup as R
 from tessera.sources import artifacts as A
 
 
+DIAGNOSTICS = "/_diagnostics"
+
+
 def put(path, value):
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text(value if isinstance(value, str) else json.dumps(value))
@@ -37,30 +40,32 @@ def tree(tmp_path_factory):
 
 
 def test_listing_and_latest(spark, tree):
-    found = A.listing(spark, tree)
+    found = A.listing(spark, tree, f"{tree}/_diagnostics")
     latest = {r.slide: r.iteration for r in R.latest_iterations(A.slides(found)).collect()}
     assert latest == {"slide_a": "iter_9", "slide_b": "iter_01"}
+    chosen = R.first_existing(A.slides(found), found, [r.root for r in found.where("root like '%_diagnostics'").select("root").distinct().collect()])
+    assert {(r.slide, r.iteration): r.root is not None for r in chosen.collect()} == {("slide_a", "iter_9"): True, ("slide_a", "iter_10"): False, ("slide_b", "iter_01"): False}
 
 
 def test_rollup(spark, tree):
-    oracle = A.files(spark, tree, "oracle_by_stage.json", A.ORACLE)
-    manifest = A.manifest_rows(A.files(spark, tree, "manifest.json", A.MANIFEST))
-    slides = R.latest_iterations(A.slides(A.listing(spark, tree)))
+    oracle = A.files(spark, tree + DIAGNOSTICS, "oracle_by_stage.json", A.ORACLE)
+    manifest = A.manifest_rows(A.files(spark, tree + DIAGNOSTICS, "manifest.json", A.MANIFEST))
+    slides = R.latest_iterations(A.slides(A.listing(spark, tree, tree + DIAGNOSTICS)))
     covered = R.coverage(slides.join(manifest.select("slide", "gt_available"), "slide", "left")).first()
     assert tuple(covered) == (1, 1, "single_gt_backed_slide_only")
     stages = A.stage_rows(oracle)
     assert {r.stage: r.recoverable_ratio for r in R.stage_totals(stages).collect()} == {"01_geometry_raw": 0.75, "07_emit": 0.75}
     kinds = R.stage_kind_totals(A.stage_kind_rows(oracle, "recoverable_by_kind"), A.stage_kind_rows(oracle, "ground_truth_count_by_kind"))
     assert {(r.stage, r.kind): (r.recoverable_count, r.ground_truth_count) for r in kinds.collect()}["07_emit", "connector"] == (1, 0)
-    lost = A.lost_rows(A.files(spark, tree, "attrition_by_stage.json", A.ATTRITION))
-    status = A.status_rows(A.files(spark, tree, "container_geometry_audit.json", A.AUDIT))
+    lost = A.lost_rows(A.files(spark, tree + DIAGNOSTICS, "attrition_by_stage.json", A.ATTRITION))
+    status = A.status_rows(A.files(spark, tree + DIAGNOSTICS, "container_geometry_audit.json", A.AUDIT))
     rows = {r.slide: r for r in R.slide_rows(slides, manifest, stages, lost, status).collect()}
     assert rows["slide_a"].dominant_loss_stage == "01_geometry_raw" and rows["slide_a"].attrition_counts == {"01_geometry_raw": 1, "05_selection": 1} and rows["slide_b"].attrition_counts is None
-    tags = {(r.kind, r.tag, r.overall): r.n for r in R.tag_totals(A.tagged_rows(A.files(spark, tree, "failure_taxonomy.json", A.FAILURES), "ground_truth")).collect()}
+    tags = {(r.kind, r.tag, r.overall): r.n for r in R.tag_totals(A.tagged_rows(A.files(spark, tree + DIAGNOSTICS, "failure_taxonomy.json", A.FAILURES), "ground_truth")).collect()}
     assert tags == {(None, "missing", 1): 2, ("container", "missing", 0): 1, ("unknown", "missing", 0): 1}
     whole = R.means(slides.join(manifest, "slide", "left").na.fill(0), ["native_object_count"], ["native_area_ratio"]).first()
     assert (whole.slide_count, whole.native_object_count, whole.native_area_ratio_mean) == (2, 4, 0.25)
-    raw = A.files(spark, tree, "manifest.json", A.MANIFEST)
+    raw = A.files(spark, tree + DIAGNOSTICS, "manifest.json", A.MANIFEST)
     assert {(r.counter, r.n) for r in A.motif_rows(raw).collect()} == {("proposed", 3), ("accepted", 1)}
     assert {(r.kind, r.bucket, r.n) for r in A.attribution_rows(raw).collect()} == {(None, "geometry_only", 2), (None, "other", 1), ("container", "geometry_only", 2)}
     assert [r.a for r in manifest.select(R.ablation(F.col("grow"), F.col("motifs")).alias("a")).collect()] == ["grow+motifs"]

@@ -14,6 +14,10 @@ from tessera.streaming import items as S
 ITEM = "slide_id long, stage string, id string, kind string, box struct<x0:double,y0:double,x1:double,y1:double>, source_ids array<string>, attachment_ids array<string>, score double, bucket string, evaluable boolean, ord int"
 
 
+def B(*v):
+    return tuple(map(float, v))
+
+
 def item(stage, id_, kind, box, attached=(), score=1.0, bucket="other", evaluable=True, slide=1):
     return (slide, stage, id_, kind, box, [], list(attached), score, bucket, evaluable, int("".join(c for c in id_ if c.isdigit()) or 0))
 
@@ -51,8 +55,8 @@ def test_greedy_order_and_large_groups(spark):
 
 
 def test_attachments_and_empty_stages(spark):
-    truth = spark.createDataFrame([item("", "g1", "box", (0, 0, 10, 10), ["a", "b"]), item("", "g2", "box", (50, 0, 60, 10), ["a"])], ITEM)
-    art = spark.createDataFrame([item("07_emit", "p1", "panel", (0, 0, 10, 10), ["c"]), item("07_emit", "p2", "rect", (50, 0, 60, 10)), item("07_emit", "p3", "rect", (50, 0, 60, 10), evaluable=False)], ITEM)
+    truth = spark.createDataFrame([item("", "g1", "box", B(0, 0, 10, 10), ["a", "b"]), item("", "g2", "box", B(50, 0, 60, 10), ["a"])], ITEM)
+    art = spark.createDataFrame([item("07_emit", "p1", "panel", B(0, 0, 10, 10), ["c"]), item("07_emit", "p2", "rect", B(50, 0, 60, 10)), item("07_emit", "p3", "rect", B(50, 0, 60, 10), evaluable=False)], ITEM)
     assert {r.gt_id for r in matching.stage_matches(truth, art, attachment=True).collect()} == {"g2"} and matching.stage_matches(truth, art).count() == 2
     stages = E.stage_table(spark)
     rows = {r.stage: r for r in E.oracle_by_stage(truth, art, matching.stage_matches(truth, art), stages).collect()}
@@ -62,7 +66,7 @@ def test_attachments_and_empty_stages(spark):
 
 
 def test_attrition_skips_what_does_not_apply(spark):
-    truth = spark.createDataFrame([item("", "g1", "line", (0, 0, 100, 4)), item("", "g2", "box", (0, 0, 9, 9))], ITEM)
+    truth = spark.createDataFrame([item("", "g1", "line", B(0, 0, 100, 4)), item("", "g2", "box", B(0, 0, 9, 9))], ITEM)
     m = spark.createDataFrame([(1, s, "g1", "a", 1.0, "other", "connector") for s in ("01_geometry_raw", "03_objects", "07_emit")], matching.MATCH)
     found = {r.gt_id: r.lost_at for r in E.attrition(truth, m, E.stage_table(spark)).collect()}
     assert found == {"g1": "05_selection", "g2": None}
@@ -78,14 +82,14 @@ def test_grid_join_equals_plain_join(spark):
 
 
 def test_suppression(spark):
-    rows = [(1, "big", 1, (0, 0, 100, 100)), (1, "same", 2, (0, 0, 100, 99)), (1, "l", 3, (5, 5, 30, 30)), (1, "r", 4, (60, 60, 90, 90))]
+    rows = [(1, "big", 1, B(0, 0, 100, 100)), (1, "same", 2, B(0, 0, 100, 99)), (1, "l", 3, B(5, 5, 30, 30)), (1, "r", 4, B(60, 60, 90, 90))]
     df = spark.createDataFrame(rows, f"slide_id long, id string, ord int, box {G.BOX}")
     kept = boxes.suppress(df, ["slide_id"])
     assert {r.id for r in kept.collect()} == {"big", "l", "r"} and {r.id for r in boxes.drop_parents(kept, ["slide_id"]).collect()} == {"l", "r"}
 
 
 def test_port_at_the_limit_and_one_owner(spark):
-    owner = spark.createDataFrame([(1, "o", "node", (0, 0, 10, 10), 0.8)], f"slide_id long, id string, owner_kind string, box {G.BOX}, confidence double")
+    owner = spark.createDataFrame([(1, "o", "node", B(0, 0, 10, 10), 0.8)], f"slide_id long, id string, owner_kind string, box {G.BOX}, confidence double")
     ports = scene.ports(owner)
     e = spark.createDataFrame([(1, "e", "horizontal", (38.0, 5.0), (5.0, 10.0), 0.5, [], [], [])], f"slide_id long, id string, orientation string, a {G.POINT}, b {G.POINT}, confidence double, near_a array<string>, near_b array<string>, near_containers array<string>")
     ranked = scene.rank_ports(e, ports).where("`end` = 'start'").collect()
@@ -95,9 +99,9 @@ def test_port_at_the_limit_and_one_owner(spark):
 
 def test_residuals_emission_and_lossless_diff(spark):
     slides = spark.createDataFrame([(1, 30, 20), (2, 30, 20)], "slide_id long, width int, height int")
-    one = spark.createDataFrame([(1, "n", (0, 0, 5, 5))], f"slide_id long, id string, box {G.BOX}")
+    one = spark.createDataFrame([(1, "n", B(0, 0, 5, 5))], f"slide_id long, id string, box {G.BOX}")
     rest = scene.residual_regions(slides, one)
-    assert [(r.slide_id, tuple(r.box)) for r in rest.collect()] == [(2, (0, 0, 30, 20))] and scene.residual_regions(slides, one, preserve=False).count() == 0
+    assert [(r.slide_id, tuple(r.box)) for r in rest.collect()] == [(2, B(0, 0, 30, 20))] and scene.residual_regions(slides, one, preserve=False).count() == 0
     lines = spark.createDataFrame([(1, "c", [(0.0, 0.0), (9.0, 1.0)])], f"slide_id long, id string, path array<{G.POINT}>")
     out = scene.emit(one.limit(0), one, one.limit(0), lines, scene.residuals(one.withColumn("kind", F.lit("x")), rest))
     assert out.count() == 4 and scene.diff_summary(scene.diff(out, out, "path")).where("not lossless").count() == 0
@@ -105,7 +109,7 @@ def test_residuals_emission_and_lossless_diff(spark):
 
 
 def test_constraints(spark):
-    rows = spark.createDataFrame([(1, "a", 0.5, (0, 0, 1, 1), "s", ["p"], ["x", "y"]), (1, "b", 1.5, (3, 0, 1, 1), "", [], ["x"])], f"slide_id long, id string, confidence double, box {G.BOX}, source string, provenance array<string>, port_ids array<string>")
+    rows = spark.createDataFrame([(1, "a", 0.5, B(0, 0, 1, 1), "s", ["p"], ["x", "y"]), (1, "b", 1.5, B(3, 0, 1, 1), "", [], ["x"])], f"slide_id long, id string, confidence double, box {G.BOX}, source string, provenance array<string>, port_ids array<string>")
     found = {(r.rule, r.id) for r in C.element_rules(rows, "node").collect()}
     assert found == {(f"node.{k}", "b") for k in ("confidence", "box", "source", "provenance")}
     targets = spark.createDataFrame([(1, "x"), (2, "y")], "slide_id long, id string")
