@@ -7,11 +7,14 @@ no band with probability (1 - 0.75^3)^32, below 3e-8.
 
 Documents with equal shingle sets are one class first, so groups of copies, however large, are one row from there on. Links are then sought in rounds:
 
-1. each class against its most frequent band representative; 2. the pairs (class, representative) that still lie in two components;
-3. in buckets that still hold several components, the classes outside the bucket's largest component against all others.
+1. each class against its most frequent band representative (of a bucket, the class with most company in all its buckets: an original rather than one of its
+   copies); 2. the pairs (class, representative) that still lie in two components;
+3. classes of buckets that still hold several components, by the prefix filter: sets at similarity 0.75 share one of their rarest quarter of shingles, so
+   only these rare shingles make buckets, and there classes outside a bucket's largest component meet the others. Shingles that many documents share,
+   such as a common passage, are last in order and make none.
 
 Pairs of one component need no check, so a large group is never paired with itself. All links are confirmed on full shingle sets, which
-are kept partitioned by class while pairs come to them.
+are kept partitioned by class while pairs come to them. The order by rarity counts shingles in 2^18 hashed places: any order finds all pairs, a rough one will do.
 
 Defined cases: null, empty or blank text has no shingles and is linked with nothing; a text of one to four words has one shingle, its word sequence;
 repeated rows are one class; a null doc_id takes part and is never a smallest id; an empty table gives an empty result.
@@ -90,6 +93,43 @@ def _sets(shingle: int):
     return run
 
 
+PLACES = 1 << 18
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(PLACES, np.int64)
+    for batch in batches:
+        for x in lists(batch.column("set")):
+            total += np.bincount((x.view(U) >> U(46)).astype(np.int64), minlength=PLACES) if len(x) > 5000 else 0
+            if len(x) <= 5000:
+                np.add.at(total, (x.view(U) >> U(46)).astype(np.int64), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["place", "n"])
+
+
+def _prefixes(counts, percent: int):
+    """The rarest shingles of each set: all but the share that a similar set must have in common, and one more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, place, row = [], [], []
+            sets = lists(batch.column("set"))
+            for i, x in enumerate(sets):
+                x = x.view(U)
+                order = np.lexsort((x, counts.value[(x >> U(46)).astype(np.int64)]))
+                keep = len(x) + (-percent * len(x)) // 100 + 1
+                token.append(x[order[:keep]])
+                place.append(np.arange(keep))
+                row.append(np.full(keep, i))
+            if not sets:
+                continue
+            row = np.concatenate(row)
+            size = np.array([len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), batch.column("class").take(pa.array(row)), batch.column("root").take(pa.array(row)), pa.array(size[row].astype(np.int32)), pa.array(np.concatenate(place).astype(np.int32))], ["token", "class", "root", "n", "at"])
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,8 +162,12 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, bands: int = BAND
     signed = checkpointed(keyed.select("text", "doc_id", "k1", "k2").mapInArrow(_signatures(shingle, bands, rows), "doc_id long, k1 long, k2 long, n long, class long, bands array<long>"))
     classes = checkpointed(signed.where("n > 0").groupBy("class").agg(F.min_by(F.struct("k1", "k2"), F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     entries = classes.select("class", "n", F.explode("bands").alias("band"))
-    heads = entries.groupBy("band").agg(F.min(F.struct("class", "n")).alias("head"), F.count("*").alias("size")).where("size > 1").select("band", "head")
-    shared = checkpointed(entries.join(heads, "band").select("band", "class", "n", F.col("head.class").alias("head"), F.col("head.n").alias("head_n")))
+    crowds = entries.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    crowded = checkpointed(entries.join(crowds, "band"))
+    company = crowded.groupBy("class").agg(F.sum("size").alias("company"))
+    placed = crowded.join(company, "class")
+    heads = placed.groupBy("band").agg(F.max(F.struct("company", "class", "n")).alias("head"))
+    shared = checkpointed(crowded.join(heads, "band").select("band", "class", "n", F.col("head.class").alias("head"), F.col("head.n").alias("head_n")))
     fits = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)  # noqa: E731  smaller against larger set bounds the similarity
     star = checkpointed(
         shared.where(F.col("class") != F.col("head")).where(fits(F.col("n"), F.col("head_n"))).groupBy(F.col("class").alias("x"), F.col("head").alias("y")).agg(F.count("*").alias("times"))
@@ -144,15 +188,23 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, bands: int = BAND
     links = checkpointed(links.union(_links(second, sets, percent)))
     roots = checkpointed(components(links))
 
-    member = shared.join(roots.withColumnRenamed("node", "class"), "class", "left").select("band", "class", "n", "head", F.coalesce("root", "class").alias("root"))
-    parts = member.groupBy("band", "root").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "main")
-    member = checkpointed(member.join(mixed, "band"))
-    outside = member.where("root <> main").select("band", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("head").alias("hx"))
-    others = member.select("band", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), "main")
-    third = (
-        outside.join(others, "band").where("rx <> ry and (ry = main or x < y)").where(fits(F.col("nx"), F.col("ny"))).where("hx <> y and hx <> x").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    )
+    member = shared.select("band", "class").join(roots.withColumnRenamed("node", "class"), "class", "left").select("band", "class", F.coalesce("root", "class").alias("root"))
+    mixed = member.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
+    doubtful = checkpointed(member.join(mixed, "band").groupBy("class").agg(F.first("root").alias("root")))
+    held = doubtful.join(sets, "class").select("class", "root", "set")
+    counts = np.zeros(PLACES, np.int64)
+    for r in held.select("set").mapInArrow(_places, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():  # PLACES rows at most
+        counts[r.place] = r.n
+    rare = checkpointed(held.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), percent), "token long, class long, root long, n int, at int"))
+    parts = rare.groupBy("token", "root").agg(F.count("*").alias("size"))
+    split = parts.groupBy("token").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
+    rare = rare.join(split, "token")
+    outside = rare.where("root <> main").select("token", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("root").alias("rx"))
+    others = rare.select("token", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("root").alias("ry"), "main")
+    # what two sets can still have in common from this shingle on, against what the similarity asks for
+    room = (F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))) * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+    third = outside.join(others, "token").where("rx <> ry and (ry = main or x < y)").where(fits(F.col("nx"), F.col("ny")) & room).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    third = third.join(star.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     links = checkpointed(links.union(_links(third, sets, percent)))
     roots = checkpointed(components(links))
     sets.unpersist()
