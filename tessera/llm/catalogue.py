@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, line_dedup, lm_scoring, near_dedup, neighbours, packing, quality, substring
+from . import chat, fingerprints, line_dedup, lm_scoring, near_dedup, neighbours, packing, quality, sampling, substring
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_line_dedup": line_dedup.query,
     "op7_fingerprints": fingerprints.query,
     "op8_near_dedup": near_dedup.query,
+    "op9_sampled_segmentation": sampling.query,
     "op10_nearest_neighbours": neighbours.query,
 }
 ORACLES = {"op3_chat_formatting": chat.SQL}

@@ -115,7 +115,8 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
 
 def sequence_hash(h: np.ndarray) -> np.uint64:
     """Hash of a whole sequence of word hashes."""
-    return mix(np.array([(h * _powers(_Q, len(h))).sum(dtype=U) + U(len(h)) * _R], U))[0]
+    total = np.array([(h * _powers(_Q, len(h))).sum(dtype=U)], U)
+    return mix(total + np.array([len(h)], U) * _R)[0]
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:

@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -130,7 +131,8 @@ class Lattices:
         length.append(np.ones(len(bare), np.int64))
         piece.append(-1 - bare)
         weight.append(np.array([v.byte_weight * len(self.spelt[int(i)]) for i in bare]))
-        source, length, piece, weight = (np.concatenate(x) for x in (source, length, piece, weight))
+        # longest pieces first: they are mostly the likeliest, so a draw ends early
+        source, length, piece, weight = (np.concatenate(x[::-1]) for x in (source, length, piece, weight))
         order = np.argsort(source, kind="stable")
         source, length, piece, weight = source[order], length[order], piece[order], weight[order]
         target = source + length
@@ -138,7 +140,7 @@ class Lattices:
         first = np.searchsorted(source, np.arange(n + 1))
         back = np.zeros(n)
         left = (end - np.arange(n))[source]  # characters to the word's end
-        by = np.argsort(left, kind="stable")
+        by = np.argsort(left.astype(np.uint16) if n < 1 << 16 or left.max() < 1 << 16 else left, kind="stable")
         edge = np.searchsorted(left[by], np.arange(1, int(left.max()) + 2))
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             e = by[a:b]
@@ -155,8 +157,8 @@ class Lattices:
         total = np.cumsum(p)
         before = np.concatenate(([0.0], total))[first[:-1]]
         whole = np.concatenate(([0.0], total))[first[1:]] - before
-        self.upto = source + np.minimum((total - before[source]) / whole[source], 1.0)
-        self.upto[first[1:] - 1] = np.arange(n) + 1.0
+        self.upto = (total - before[source]) / whole[source]
+        self.upto[first[1:] - 1] = 1.0
         self.p, self.first, self.source, self.piece, self.next = p, first, source, piece, np.where(done, -1, target)
         self.alone = (first[1:] - first[:-1] == 1)[source]
 
@@ -166,8 +168,11 @@ class Lattices:
         found, edges, step = [], [], 0
         while len(who):
             u = uniform(seed[who] + U(step))
-            e = np.minimum(np.searchsorted(self.upto, node + u, "right"), len(self.upto) - 1)
-            e = np.minimum(np.maximum(e, self.first[node]), self.first[node + 1] - 1)
+            e = self.first[node]
+            later = np.flatnonzero(u >= self.upto[e])
+            while len(later):
+                e[later] += 1
+                later = later[u[later] >= self.upto[e[later]]]
             found.append(who)
             edges.append(e)
             go = self.next[e] >= 0
@@ -193,7 +198,7 @@ class Lattices:
 
 def uniform(x: np.ndarray) -> np.ndarray:
     """In (0, 1)."""
-    return ((mix(mix(x)) >> U(12)).astype(np.float64) + 0.5) / 2.0**52
+    return ((mix(x) >> U(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
 class Row:
@@ -201,32 +206,29 @@ class Row:
 
     def __init__(self, seed: int, roots: np.ndarray) -> None:
         self.seed, self.roots, self.paths, self.queue = seed, roots, [], []
-        # (bound, path, place, edges taken at the place before)
+        # queue: of each path, what branches off at each place, before the cut at that path's bound
         self.bound = float(-np.log(-np.log(uniform(np.array([seed], U))[0])))
         self.opened: tuple[int, int, list[int]] | None = None
 
     def best(self) -> tuple[float, int, int, int]:
         """(bound, path, place, number in queue) of the best subtree that waits."""
         top = (-np.inf, -1, -1, -1)
-        for i, (bounds, _) in enumerate(self.queue):
-            if len(bounds):
-                j = int(bounds.argmax())
-                top = max(top, (float(bounds[j]), -i, j, i))
+        for i, (free, bound) in enumerate(self.queue):
+            if len(free):
+                j = int(free.argmax())
+                top = max(top, (cut(float(free[j]), bound), -i, j, i))
         return top[0], -top[1], top[2], top[3]
 
 
 def sample(texts: list[str], seeds: list[int], v: Vocabulary, k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per text up to k of (ids, log-probability, perturbed value, inclusion score), by perturbed value."""
     split = [chunks(t) for t in texts]
-    names: dict[str, int] = {}
-    for part in split:
-        for c in part:
-            names.setdefault(c, len(names))
+    names = {c: i for i, c in enumerate(dict.fromkeys(chain.from_iterable(split)))}
     out: list[list] = [[] if s else [(np.empty(0, np.int64), 0.0, 0.0, 1.0)] for s in split]
     if not names:
         return out
     net = Lattices(list(names), v)
-    rows = {i: Row(seeds[i], net.root[np.fromiter((names[c] for c in s), np.int64, len(s))]) for i, s in enumerate(split) if s}
+    rows = {i: Row(seeds[i], net.root[np.fromiter(map(names.__getitem__, s), np.int64, len(s))]) for i, s in enumerate(split) if s}
     active = list(rows)
     for turn in range(k):
         starts, keys, owner, prefixes = [], [], [], {}
@@ -270,18 +272,20 @@ def sample(texts: list[str], seeds: list[int], v: Vocabulary, k: int = SAMPLES)
                 j = len(prefix) - 1
                 old, place, taken = r.opened
                 taken.append(pick)
-                bounds, _ = r.queue[old]
+                free, above = r.queue[old]
                 node = net.source[pick]
                 left = float(net.p[net.first[node] : net.first[node + 1]].sum() - net.p[taken].sum()) if net.first[node + 1] - net.first[node] > len(taken) else 0.0
-                bounds[place] = cut_gumbel(np.array([upto[j] - log[j]]), np.array([left]), r, turn, np.array([place]), 1 << 49)[0]
+                value = cut(float(gumbel(np.array([upto[j] - log[j]]), np.array([left]), r, turn, np.array([place]), 1 << 49)[0]), r.bound)
+                # what its place holds is cut at `above`: the raw value that becomes this one
+                free[place] = value - np.log1p(-np.exp(value - above)) if left > 0 else -np.inf
                 new = np.full(len(path), -np.inf)
                 at = np.arange(len(prefix), len(path))
             else:
                 new, at = np.empty(len(path)), np.arange(len(path))
             mass = np.where(net.alone[path[at]], 0.0, -np.expm1(log[at]))
-            new[at] = cut_gumbel(upto[at] - log[at], mass, r, turn, at, 0)
+            new[at] = gumbel(upto[at] - log[at], mass, r, turn, at, 0)
             r.paths.append((path, word, {}))
-            r.queue.append((new, turn))
+            r.queue.append((new, r.bound))
             out[i].append([net.ids(path), float(upto[-1]), r.bound])
         active = [i for i in active if rows[i].best()[0] > -np.inf]
         if not active:
@@ -292,14 +296,17 @@ def sample(texts: list[str], seeds: list[int], v: Vocabulary, k: int = SAMPLES)
     return out
 
 
-def cut_gumbel(prefix: np.ndarray, mass: np.ndarray, r: Row, turn: int, place: np.ndarray, salt: int) -> np.ndarray:
-    """Largest perturbed value in subtrees of log-probability prefix + log(mass), given that it is below r.bound; -inf without mass."""
+def gumbel(prefix: np.ndarray, mass: np.ndarray, r: Row, turn: int, place: np.ndarray, salt: int) -> np.ndarray:
+    """Largest perturbed value in subtrees of log-probability prefix + log(mass), not yet cut at the parent's; -inf without mass."""
     u = uniform(mix(np.array([r.seed ^ 0x5DEECE66D], U)) + place.astype(U) + U((turn << 50) + salt))
-    with np.errstate(divide="ignore", over="ignore"):
-        free = prefix + np.log(np.maximum(mass, 0)) - np.log(-np.log(u))
-        # -log(exp(-free) + exp(-bound)), without overflow
-        low, high = np.minimum(free, r.bound), np.maximum(free, r.bound)
-        return np.where(mass > 0, low - np.log1p(np.exp(low - high)), -np.inf)
+    with np.errstate(divide="ignore"):
+        return np.where(mass > 0, prefix + np.log(np.maximum(mass, 0)) - np.log(-np.log(u)), -np.inf)
+
+
+def cut(free: float, bound: float) -> float:
+    """A Gumbel value given that it is below `bound`: -log(exp(-free) + exp(-bound))."""
+    low, high = min(free, bound), max(free, bound)
+    return float(low - np.log1p(np.exp(low - high))) if low > -np.inf else -np.inf
 
 
 SAMPLED = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double"
