@@ -7,12 +7,12 @@ probability of each next edge.
 The k segmentations are those with the largest Gumbel-perturbed log-probabilities, found best first (Kool, van Hoof and Welling, 2019): the largest perturbed
 value belongs to a sampled path; what branches off it at one node is a subtree whose own largest value is a Gumbel variable cut at the parent's, so
 the subtrees wait in a queue by that bound, and the best one is opened next. Segmentations are distinct by construction. With t the largest value left in the queue, a segmentation of
-log-probability p has inclusion score 1 - exp(-exp(p - t)), its probability to be among the k at that threshold.
+log-probability p has inclusion score 1 - exp(-exp(p - t)), its probability to be among the k at that threshold; it is given as a logarithm, as long texts have very many segmentations.
 
 Random numbers are hashes of the row key, the sample and the place, so a row's samples don't depend on its batch. Pieces never reach over the start of
 a word, so lattices are built per distinct word of a batch and whole texts of any length are sampled as chains of words. Decoding is exact.
 
-Defined cases: a null or empty text has one segmentation, without pieces, at inclusion 1; fewer than k segmentations give fewer rows; repeated rows get the same
+Defined cases: a null or empty text has one segmentation, without pieces, at inclusion 1 (logarithm 0); fewer than k segmentations give fewer rows; repeated rows get the same
 samples each; a null doc_id is key -1; an empty table gives an empty result.
 """
 
@@ -221,10 +221,10 @@ class Row:
 
 
 def sample(texts: list[str], seeds: list[int], v: Vocabulary, k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """Per text up to k of (ids, log-probability, perturbed value, inclusion score), by perturbed value."""
+    """Per text up to k of (ids, log-probability, perturbed value, log of the inclusion score), by perturbed value."""
     split = [chunks(t) for t in texts]
     names = {c: i for i, c in enumerate(dict.fromkeys(chain.from_iterable(split)))}
-    out: list[list] = [[] if s else [(np.empty(0, np.int64), 0.0, 0.0, 1.0)] for s in split]
+    out: list[list] = [[] if s else [(np.empty(0, np.int64), 0.0, 0.0, 0.0)] for s in split]
     if not names:
         return out
     net = Lattices(list(names), v)
@@ -292,10 +292,15 @@ def sample(texts: list[str], seeds: list[int], v: Vocabulary, k: int = SAMPLES)
             break
     for i, r in rows.items():
         left = r.best()[0]
-        out[i] = [(ids, p, g, 1.0 if left == -np.inf else float(-np.expm1(-np.exp(min(p - left, 50.0))))) for ids, p, g in out[i]]
+        out[i] = [(ids, p, g, log_inclusion(p - left)) for ids, p, g in out[i]]
     return out
 
 
+def log_inclusion(above: float) -> float:
+    """log(1 - exp(-exp(above))), without underflow."""
+    return above if above < -30 else float(np.log(-np.expm1(-np.exp(min(above, 50.0)))))
+
+
 def gumbel(prefix: np.ndarray, mass: np.ndarray, r: Row, turn: int, place: np.ndarray, salt: int) -> np.ndarray:
     """Largest perturbed value in subtrees of log-probability prefix + log(mass), not yet cut at the parent's; -inf without mass."""
     u = uniform(mix(np.array([r.seed ^ 0x5DEECE66D], U)) + place.astype(U) + U((turn << 50) + salt))
@@ -309,7 +314,7 @@ def cut(free: float, bound: float) -> float:
     return float(low - np.log1p(np.exp(low - high))) if low > -np.inf else -np.inf
 
 
-SAMPLED = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double"
+SAMPLED = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double"
 
 
 def _run(path: str | None, k: int, with_ids: bool):

@@ -35,7 +35,7 @@ def test_whole_table_recall(spark):
 
 def test_many_blocks_ties_and_copies(spark):
     rng = np.random.default_rng(0)
-    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)] + [(i, [1.0, 0, 0, 0, 0, 0, 0, 0]) for i in range(300, 700)]
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)] + [(i, [1.0] + [0.0] * 7) for i in range(300, 700)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = N.nearest(df, df.where("vec_id % 50 = 0"), block=90, query_block=4, leaf=16).collect()
     check(found, exact(rows), 0.99)

@@ -45,7 +45,7 @@ def test_samples_follow_the_lattice(v):
         assert len({tuple(r[0].tolist()) for r in rows}) == k and [r[2] for r in rows] == sorted((r[2] for r in rows), reverse=True)
         assert all(abs(exact[tuple(r[0].tolist())] - r[1]) < 1e-9 for r in rows)
         first[tuple(rows[0][0].tolist())] += 1
-        total += sum(np.exp(r[1]) / r[3] for r in rows)
+        total += sum(np.exp(r[1] - r[3]) for r in rows)
         seen.update(tuple(r[0].tolist()) for r in rows)
     assert abs(total / n - 1) < 0.02  # inclusion scores weigh samples to an unbiased sum
     ids, p = list(exact), np.array(list(exact.values()))
@@ -61,7 +61,7 @@ def test_round_trip_and_batches(v, text):
     many = S.sample(["other", text, "", "zz"], [1, 5, 9, 2], v, 3)
     for a, b in zip(one[0], many[1], strict=True):
         assert (a[0] == b[0]).all() and np.allclose(a[1:], b[1:]) and v.decode(a[0]) == text.encode()
-    assert len({tuple(r[0].tolist()) for r in one[0]}) == len(one[0]) >= 1 and all(0 < r[3] <= 1 for r in one[0])
+    assert len({tuple(r[0].tolist()) for r in one[0]}) == len(one[0]) >= 1 and all(-np.inf < r[3] <= 0 for r in one[0])
 
 
 def test_whole_table(spark, data):
