@@ -304,8 +304,15 @@ def picture_rows(rgb: np.ndarray) -> list[tuple]:
     canvas = subtracted(soft_masked(planes["canvas"], text_mask), residual(_mask_of(picture, planes["canvas"].shape)))
     parts = component_boxes(canvas)
     node = node_boxes(canvas, (0, 0, canvas.shape[1], canvas.shape[0]))
-    lines = [(a, b, c + 1, d + 1, 1.0, max(c - a, d - b) + 1) for a, b, c, d in segments(ink(canvas))]
-    return [(layer, *r) for layer, rows in (("text", text), ("picture", picture), ("component", parts), ("node", node), ("segment", lines)) for r in rows]
+    mask = ink(canvas)
+    found = segments(mask)
+    lines = [(a, b, c + 1, d + 1, 1.0, max(c - a, d - b) + 1) for a, b, c, d in found]
+    tips = [(x, y, x, y, 1.0, 1) for x, y in arrow_hints(mask)]
+    for a, b, c, d in found:
+        ends = ((a, b), (c, d))
+        tips += [(*e, *e, 1.0, 1) for e, o in (ends, ends[::-1]) if arrow_signal(mask, e, o, b == d)]
+    layers = (("text", text), ("picture", picture), ("component", parts), ("node", node), ("segment", lines), ("hint", tips))
+    return [(layer, *r) for layer, rows in layers for r in rows]
 
 
 def regions(pictures: DataFrame) -> DataFrame:

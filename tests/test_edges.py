@@ -167,3 +167,11 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.kind, r.bucket, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("container", "geometry_only", 1)]
+
+
+def test_pictures_become_scenes(spark):
+    from tessera.plans import convert
+
+    made = convert.convert(pixels.drawings(spark.createDataFrame([(1, 3)], "slide_id long, seed int").coalesce(1)))
+    nodes, containers = made["nodes"].count(), made["containers"].count()
+    assert nodes >= 2 and containers >= 1 and made["ports"].count() == 4 * (nodes + containers)
