@@ -6,7 +6,8 @@ its 16-word grams, an anchor, and equal windows have equal anchors. The anchors
 the words around each, are a reference block. A document meets only the blocks of its own anchors.
 
 * A block with one occurrence holds no repeat. A block whose occurrences all have the same surroundings is one factor for all of them.
-* In any other block factors end somewhere inside: there, at factor boundaries, each window is checked on its own hash.
+* In any other block, and where a run may repeat itself, factors end somewhere inside: there, at factor boundaries, each window is checked on its own
+  hash. A document sends each of its windows once, so a word said a million times makes no hot key.
 
 Anchors are counted with partial aggregation and joined (adaptive skew joins split hot ones), so a passage in a third of all documents
 meets in no single task; no pair of documents is ever made. Texts are shuffled once.
@@ -39,7 +40,8 @@ class Runs:
     """Maximal runs of consecutive windows with the same anchor."""
 
     anchor: np.ndarray
-    context: np.ndarray
+    context: np.ndarray  # of all its windows, as a multiset
+    inner: np.ndarray  # the anchor stands at several places of the run, so that the run may repeat itself
     doc: np.ndarray
     ordinal: np.ndarray  # within the document
     low: np.ndarray  # first and last window, as word positions in the chunk
@@ -65,15 +67,22 @@ def runs(h: np.ndarray, first: np.ndarray, doc: np.ndarray, window: int, gram: i
     valid = np.flatnonzero(np.arange(n) + window <= first[1:][doc[:n]]) if n else np.empty(0, np.int64)
     grams = mix(windows(h, gram))
     at = _least(grams, window - gram + 1)[valid] if n else valid
+    least, of = grams[at], doc[valid]
     new = np.ones(len(at), bool)
-    new[1:] = at[1:] != at[:-1]
+    new[1:] = (least[1:] != least[:-1]) | (of[1:] != of[:-1])
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(at)) - 1 if len(at) else begin
-    low, high, anchor = valid[begin], valid[end], at[begin]
-    of = doc[low]
-    context = mix(whole[low] * U(3) + mix(whole[high]) + mix((((high - low) << 8) + anchor - low).astype(U)))
+    low, high, of = valid[begin], valid[end], of[begin]
+    total = np.concatenate((np.zeros(1, U), np.cumsum(mix(whole[valid] ^ U(1)))))
+    context = mix(total[end + 1] - total[begin] + (high - low).astype(U)) if len(at) else np.empty(0, U)
     ordinal = np.arange(len(of)) - np.searchsorted(of, of, "left")
-    return Runs(grams[anchor], context, of, ordinal, low, high), whole
+    return Runs(least[begin], context, at[begin] != at[end], of, ordinal, low, high), whole
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """low[i]..high[i] for each i, one after another."""
+    n = high - low + 1
+    return np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 def _emit_anchors(window: int, gram: int):
@@ -84,15 +93,15 @@ def _emit_anchors(window: int, gram: int):
                 w = words(data, offsets)
                 r, _ = runs(word_hashes(data, w), w.first, w.doc, window, gram)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r.anchor.view(np.int64)), pa.array(r.context.view(np.int64)), pa.array(k1[row + r.doc]), pa.array(k2[row + r.doc]), pa.array(r.ordinal.astype(np.int32))],
-                    ["a", "c", "k1", "k2", "j"],
+                    [pa.array(r.anchor.view(np.int64)), pa.array(r.context.view(np.int64)), pa.array(k1[row + r.doc]), pa.array(k2[row + r.doc]), pa.array(r.ordinal.astype(np.int32)), pa.array(r.inner)],
+                    ["a", "c", "k1", "k2", "j", "inner"],
                 )
 
     return run
 
 
 def _emit_windows(window: int, gram: int):
-    """Windows of the runs whose block is mixed; codes are 2 * ordinal + mixed."""
+    """The different windows of each document's runs in mixed blocks, with the first place of each; codes are 2 * ordinal + mixed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,25 +110,24 @@ def _emit_windows(window: int, gram: int):
                 w = words(data, offsets)
                 r, whole = runs(word_hashes(data, w), w.first, w.doc, window, gram)
                 start = np.searchsorted(r.doc, np.arange(end - row))
-                chosen = [start[d] + (c[c & 1 == 1] >> 1) for d, c in enumerate(codes[row:end])]
-                pick = np.concatenate(chosen).astype(np.int64) if chosen else np.empty(0, np.int64)
-                pick = np.unique(pick)
-                n = r.high[pick] - r.low[pick] + 1
-                at = np.repeat(r.low[pick] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                d = np.repeat(r.doc[pick], n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(r.anchor[pick], n).view(np.int64)), pa.array(whole[at].view(np.int64)), pa.array(k1[row + d]), pa.array(k2[row + d]), pa.array((at - w.first[d]).astype(np.int32))],
-                    ["a", "w", "k1", "k2", "at"],
-                )
+                out = []
+                for d, c in enumerate(codes[row:end]):
+                    pick = np.sort(start[d] + (c[c & 1 == 1] >> 1))
+                    at = _spread(r.low[pick], r.high[pick])
+                    name, place = np.unique(whole[at], return_index=True)
+                    anchor = np.repeat(r.anchor[pick], r.high[pick] - r.low[pick] + 1)[place]
+                    out.append((anchor, name, np.full(len(name), k1[row + d]), np.full(len(name), k2[row + d]), (at[place] - w.first[d]).astype(np.int32)))
+                anchor, name, a, b, at = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(name.view(np.int64)), pa.array(a), pa.array(b), pa.array(at)], ["a", "w", "k1", "k2", "at"])
 
     return run
 
 
-def covered_words(n: int, first: list[int], last: list[int], window: int) -> np.ndarray:
+def covered_words(n: int, first: np.ndarray, last: np.ndarray, window: int) -> np.ndarray:
     """Which of n words lie in the windows first[i]..last[i]."""
     step = np.zeros(n + 1, np.int64)
-    np.add.at(step, np.asarray(first, np.int64), 1)
-    np.add.at(step, np.asarray(last, np.int64) + window, -1)
+    np.add.at(step, first.astype(np.int64), 1)
+    np.add.at(step, last.astype(np.int64) + window, -1)
     return np.cumsum(step[:n]) > 0
 
 
@@ -130,19 +138,23 @@ def _apply(window: int, gram: int, texts: bool):
             codes, single = lists(batch.column("codes")), lists(batch.column("starts"))
             for row, end, data, offsets in text_chunks(held):
                 flagged = [i for i in range(row, end) if len(codes[i]) or len(single[i])]
-                r = w = None
+                r = w = whole = None
                 if flagged:
                     w = words(data, offsets)
-                    r, _ = runs(word_hashes(data, w), w.first, w.doc, window, gram)
+                    r, whole = runs(word_hashes(data, w), w.first, w.doc, window, gram)
                 out = []
                 raw = data.tobytes()
                 for i in range(row, end):
                     text = raw[offsets[i - row] : offsets[i - row + 1]]
                     parts = text.split()
                     if len(codes[i]) or len(single[i]):
-                        pick = np.searchsorted(r.doc, i - row) + (codes[i][codes[i] & 1 == 0] >> 1)
-                        base = w.first[i - row]
-                        cover = covered_words(len(parts), [*(r.low[pick] - base), *single[i]], [*(r.high[pick] - base), *single[i]], window)
+                        base, head = w.first[i - row], np.searchsorted(r.doc, i - row)
+                        pick, loose = (head + (codes[i][codes[i] & 1 == k] >> 1) for k in (0, 1))
+                        at = _spread(r.low[loose], r.high[loose])
+                        name, back, times = np.unique(whole[at], return_inverse=True, return_counts=True)
+                        again = (times > 1) | np.isin(name, whole[base + single[i]])
+                        at = at[again[back]] - base
+                        cover = covered_words(len(parts), np.concatenate((r.low[pick] - base, at)), np.concatenate((r.high[pick] - base, at)), window)
                         kept = b" ".join(compress(parts, ~cover))
                         removed = int(cover.sum())
                         if texts:
@@ -170,8 +182,9 @@ def _cut(text: bytes, starts: np.ndarray, cover: np.ndarray) -> bytes:
 
 def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """Of documents with their row_key(): the repeated runs, and the single repeated windows, by k1, k2."""
-    anchors = keyed.select("text", "k1", "k2").mapInArrow(_emit_anchors(window, gram), "a long, c long, k1 long, k2 long, j int")
-    blocks = anchors.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("a", (F.col("c0") != F.col("c1")).cast("int").alias("mixed"))
+    anchors = keyed.select("text", "k1", "k2").mapInArrow(_emit_anchors(window, gram), "a long, c long, k1 long, k2 long, j int, inner boolean")
+    counted = anchors.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("inner").alias("inner")).where("n > 1 or inner")
+    blocks = counted.select("a", ((F.col("c0") != F.col("c1")) | F.col("inner")).cast("int").alias("mixed"))
     flagged = anchors.join(blocks, "a").select("k1", "k2", (F.col("j") * 2 + F.col("mixed")).alias("code"))
     factors = checkpointed(flagged.groupBy("k1", "k2").agg(F.collect_set("code").alias("codes")))
     split = keyed.join(factors.where(F.exists("codes", lambda x: x % 2 == 1)), ["k1", "k2"])
