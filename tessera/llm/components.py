@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: Links a partition holds; tables of fewer links need no more shuffle files than they have partitions.
+ROWS = 200_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of `links` (columns u, v: long); root is the smallest node reachable.
@@ -15,17 +18,32 @@ def components(links: DataFrame) -> DataFrame:
     many links is pre-aggregated where its rows lie; every step is checkpointed. Null and self links are left out; no links, no rows.
     """
     edges = checkpointed(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    parts = max(1, -(-edges.count() // ROWS))  # steps never add links, so this many partitions do for all of them
+
+    def few(df: DataFrame) -> DataFrame:
+        return df.coalesce(parts)
+
+    edges, before = few(edges), None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")).where("u <> v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = checkpointed(small)
+        least = few(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = few(few(both.where("v > u").join(least, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")).where("u <> v")).distinct())
+        least = few(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = few(large.join(least, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        edges = checkpointed(few(small))
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break
         before = tuple(state)
-    roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
+    roots = few(edges.select(F.col("v").alias("node")).distinct()).select("node", F.col("node").alias("root"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+
+
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of known components (from components()) and more links: only roots are grouped again, so the work follows the new links."""
+    named = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    met = links.join(named("u"), "u", "left").join(named("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+    above = components(met)
+    kept = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    whole = checkpointed(kept.union(above.join(roots.select("node"), "node", "left_anti").select("node", "root")))
+    return whole.coalesce(max(1, -(-whole.count() // ROWS)))

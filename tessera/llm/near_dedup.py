@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import carried, checkpointed, partitions, plain, restored, row_key, table
-from .components import components
+from .components import components, extended
 from .hashing import U, lists, long_lists, mix, shingle_sets, text_chunks
 
 SHINGLE, BANDS, ROWS = 5, 32, 3
@@ -177,16 +177,14 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, bands: int = BAND
     sets = held.dropDuplicates(["class"]).repartition(n, "class").persist(StorageLevel.DISK_ONLY)
 
     first = star.groupBy("x").agg(F.max_by("y", F.struct("times", "y")).alias("y"))
-    links = checkpointed(_links(first, sets, percent))
-    roots = checkpointed(components(links))
+    roots = checkpointed(components(checkpointed(_links(first, sets, percent))))
 
     def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         a, b = (roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("x", "y"))
         return pairs.join(a, "x", "left").join(b, "y", "left").where(F.coalesce("root_x", "x") != F.coalesce("root_y", "y")).select("x", "y")
 
     second = apart(star.select("x", "y").join(first, ["x", "y"], "left_anti"), roots)
-    links = checkpointed(links.union(_links(second, sets, percent)))
-    roots = checkpointed(components(links))
+    roots = extended(roots, checkpointed(_links(second, sets, percent)))
 
     member = shared.select("band", "class").join(roots.withColumnRenamed("node", "class"), "class", "left").select("band", "class", F.coalesce("root", "class").alias("root"))
     mixed = member.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
@@ -205,8 +203,7 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, bands: int = BAND
     room = (F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))) * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
     third = outside.join(others, "token").where("rx <> ry and (ry = main or x < y)").where(fits(F.col("nx"), F.col("ny")) & room).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     third = third.join(star.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
-    links = checkpointed(links.union(_links(third, sets, percent)))
-    roots = checkpointed(components(links))
+    roots = extended(roots, checkpointed(_links(third, sets, percent)))
     sets.unpersist()
     return signed.drop("bands"), roots
 

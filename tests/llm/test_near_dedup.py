@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import near_dedup
-from tessera.llm.components import components
+from tessera.llm.components import components, extended
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -80,3 +80,5 @@ def test_components_of_paths_and_stars(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (300, 299), (299, 298)]
     found = {r.node: r.root for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert found == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 160)} | {k: 298 for k in (298, 299, 300)}
+    roots = components(spark.createDataFrame(pairs[:45], "u long, v long"))
+    assert {r.node: r.root for r in extended(roots, spark.createDataFrame([*pairs[45:], (40, 103)], "u long, v long")).collect()} == found | {k: 0 for k in range(100, 160)}
