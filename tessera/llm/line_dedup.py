@@ -103,7 +103,8 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_W
     held = carried(docs)
     keyed = held.select("doc_id", "text", "rest", *row_key())
     lines = keyed.select("text", "k1", "k2").mapInArrow(_emit(lead, min_words), "template long, content long, k1 long, k2 long, line int")
-    found = lines.join(recurring(lines, min_docs, spread).select("template"), "template")
+    # checkpointed, so that the join can be a broadcast when they are few, and a hot template's rows can be split when they are not
+    found = lines.join(checkpointed(recurring(lines, min_docs, spread).select("template")), "template")
     cuts = checkpointed(found.groupBy("k1", "k2").agg(F.collect_set("line").alias("cut")))
     kinds = T.StructType([*(T.StructField(k, T.LongType()) for k in ("doc_id", "k1", "k2")), held.schema["rest"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("clean_text", T.StringType())])
     return keyed.join(cuts, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "rest", "text", "cut").mapInArrow(_drop, kinds)
