@@ -54,7 +54,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """code, target and background counts."""
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good", F.lit(True))
-    marked = plain(docs).join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    # a merge join at every size: labels grow with the documents
+    marked = plain(docs).join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     return marked.mapInArrow(_count, "code int, target long, background long").groupBy("code").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
