@@ -5,8 +5,7 @@ below it. The leaf entry, all words with wildcards, is the line's template. The
 it is parsed, and the tree is a table of template names.
 
 A template recurs if documents with MIN_DOCS different contents have it. Copies of a document do not count twice: each document carries the smallest hash of its
-shingles, which near copies mostly share, and a template whose documents are mainly one such group (more than `1 / SPREAD` times the number of
-different ones) belongs to copies, not to boilerplate. All lines of recurring templates are dropped, blank and shorter lines (under MIN_WORDS words) never.
+shingles, which near copies mostly share. However many copies one content has, MIN_DOCS different ones make a template recur. All lines of recurring templates are dropped, blank and shorter lines (under MIN_WORDS words) never.
 
 Counting is by (template, content) and then by template, both pre-aggregated, and only recurring templates are joined back, so a line that every
 document has meets in no single task.
@@ -27,7 +26,9 @@ from pyspark.sql import types as T
 from .common import carried, checkpointed, restored, row_key, table
 from .hashing import DIGIT, U, lists, mix, text_chunks, windows, word_hashes, words
 
-MIN_DOCS, MIN_WORDS, LEAD, SPREAD = 8, 3, 3, 0.5
+MIN_DOCS, MIN_WORDS, LEAD = 8, 3, 3
+#: Different contents that a template needs for each document of its largest content: none, copies never keep a template.
+SPREAD = 0.0
 _FIELD = U(0x51ED270B7F4A7C15)
 
 
@@ -75,11 +76,11 @@ def _emit(lead: int, min_words: int):
     return run
 
 
-def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, spread: float = SPREAD) -> DataFrame:
+def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """template, n_docs and n_contents of the templates that recur."""
     rows = lines.select("template", "content", "k1", "k2").distinct().groupBy("template", "content").agg(F.count("*").alias("n"))
-    seen = rows.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_contents"), F.max("n").alias("largest"))
-    return seen.where((F.col("n_contents") >= min_docs) & (F.col("n_contents") >= F.lit(spread) * F.col("largest"))).select("template", "n_docs", "n_contents")
+    seen = rows.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_contents"))
+    return seen.where(F.col("n_contents") >= min_docs)
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,13 +99,13 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in ("doc_id", "k1", "k2", "rest")), pa.array(before, pa.int64()), pa.array(gone, pa.int64()), pa.array(clean, pa.string())], ["doc_id", "k1", "k2", "rest", "n_lines", "n_dropped", "clean_text"])
 
 
-def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, lead: int = LEAD, spread: float = SPREAD) -> DataFrame:
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, lead: int = LEAD) -> DataFrame:
     """doc_id, n_lines, n_dropped, clean_text and rest (the other columns) for each row of `docs`."""
     held = carried(docs)
     keyed = held.select("doc_id", "text", "rest", *row_key())
     lines = keyed.select("text", "k1", "k2").mapInArrow(_emit(lead, min_words), "template long, content long, k1 long, k2 long, line int")
     # checkpointed, so that the join can be a broadcast when they are few, and a hot template's rows can be split when they are not
-    found = lines.join(checkpointed(recurring(lines, min_docs, spread).select("template")), "template")
+    found = lines.join(checkpointed(recurring(lines, min_docs).select("template")), "template")
     cuts = checkpointed(found.groupBy("k1", "k2").agg(F.collect_set("line").alias("cut")))
     kinds = T.StructType([*(T.StructField(k, T.LongType()) for k in ("doc_id", "k1", "k2")), held.schema["rest"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("clean_text", T.StringType())])
     return keyed.join(cuts, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "rest", "text", "cut").mapInArrow(_drop, kinds)

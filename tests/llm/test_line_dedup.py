@@ -51,3 +51,16 @@ def test_fields_copies_and_odd_rows(spark):
     assert all(found[100 + i].text == dict(rows)[100 + i] for i in range(40))  # copies are left to the near-duplicate stage
     assert found[203].text is None and found[201].text == "\n\n" and found[None].text == "a b c" and found[0].n_chars == len(found[0].text) and found[5].lang == "en" and found[5].template == 3
     assert L.drop_lines(df.limit(0)).count() == 0
+
+
+def unrelated(n, words=30, seed=0):
+    rng = np.random.default_rng(seed)
+    return [" ".join(f"w{chr(97 + x % 26)}{chr(97 + x // 26 % 26)}" for x in rng.integers(0, 676, words)) for _ in range(n)]
+
+
+def test_a_large_group_of_copies_keeps_no_line(spark):
+    notice = "All views here are those of the author"
+    *texts, copy = unrelated(13)
+    rows = [(i, f"{t}\n{notice}") for i, t in enumerate([*texts, *[copy] * 60])]
+    found = L.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 72 and all(r.n_dropped == 1 and notice not in r.clean_text for r in found)
