@@ -4,11 +4,11 @@ A line's path in the tree is its word count and its leading words; variable fiel
 below it. The leaf entry, all words with wildcards, is the line's template. The tree has a fixed depth and no state, so a template gets the same name wherever
 it is parsed, and the tree is a table of template names.
 
-A template recurs if documents with MIN_DOCS different contents have it. Copies of a document do not count twice: each document carries the smallest hash of its
-shingles, which near copies mostly share. However many copies one content has, MIN_DOCS different ones make a template recur. All lines of recurring templates are dropped, blank and shorter lines (under MIN_WORDS words) never.
+A template recurs if documents with MIN_DOCS different contents have it. Copies of a document do not count twice: a content is a near-duplicate group of whole
+texts (operator 8, verified on full shingle sets), so neither a line that unrelated documents share nor the number of copies moves the count. However many copies one content has, MIN_DOCS different ones make a template recur. All lines of recurring templates are dropped, blank and shorter lines (under MIN_WORDS words) never.
 
-Counting is by (template, content) and then by template, both pre-aggregated, and only recurring templates are joined back, so a line that every
-document has meets in no single task.
+Templates of fewer than MIN_DOCS documents are left out first, which loses none. Counting is by (template, content) and then by template, both pre-aggregated,
+and only recurring templates are joined back, so a line that every document has meets in no single task.
 
 Defined cases: null text has no lines and stays null; repeated rows count once; a document whose lines all go keeps an empty text; an empty table gives an empty result.
 """
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import carried, checkpointed, restored, row_key, table
-from .hashing import DIGIT, U, lists, mix, text_chunks, windows, word_hashes, words
+from .near_dedup import contents
+from .hashing import DIGIT, U, Words, lists, mix, text_chunks, windows, word_hashes, words
 
 MIN_DOCS, MIN_WORDS, LEAD = 8, 3, 3
 #: Different contents that a template needs for each document of its largest content: none, copies never keep a template.
@@ -32,10 +33,8 @@ SPREAD = 0.0
 _FIELD = U(0x51ED270B7F4A7C15)
 
 
-def templates(data: np.ndarray, offsets: np.ndarray, lead: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(template, document, line in it) of each line of min_words words at least; the least shingle hash of each document; words of each such line."""
-    w = words(data, offsets)
-    h = word_hashes(data, w)
+def parsed(data: np.ndarray, offsets: np.ndarray, lead: int, min_words: int, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template, document, line in it, words) of each line of min_words words at least."""
     n = len(h)
     digits = np.concatenate(([0], np.cumsum(DIGIT[data])))
     field = digits[w.ends] > digits[w.starts]
@@ -54,6 +53,15 @@ def templates(data: np.ndarray, offsets: np.ndarray, lead: int, min_words: int)
     rest = np.add.reduceat(np.where(place < lead, U(0), term), first) if n else np.empty(0, U)
     name = mix(mix(path + size.astype(U)) + rest)
     at = line[first] - np.searchsorted(breaks, offsets[doc]) if n else first
+    keep = size >= min_words
+    return name[keep], doc[keep], at[keep], size[keep]
+
+
+def templates(data: np.ndarray, offsets: np.ndarray, lead: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template, document, line in it) of each line of min_words words at least; the least shingle hash of each document; words of each such line."""
+    w = words(data, offsets)
+    h = word_hashes(data, w)
+    name, doc, at, size = parsed(data, offsets, lead, min_words, w, h)
     content = np.zeros(len(offsets) - 1, U)
     grams = mix(windows(h, 3))
     for d, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
@@ -61,8 +69,7 @@ def templates(data: np.ndarray, offsets: np.ndarray, lead: int, min_words: int)
             content[d] = grams[a : b - 2].min()
         elif b > a:
             content[d] = mix(h[a:b]).sum(dtype=U)
-    keep = size >= min_words
-    return name[keep], doc[keep], at[keep], content, size[keep]
+    return name, doc, at, content, size
 
 
 def _emit(lead: int, min_words: int):
@@ -70,15 +77,22 @@ def _emit(lead: int, min_words: int):
         for batch in batches:
             k1, k2 = (batch.column(k).to_numpy() for k in ("k1", "k2"))
             for row, _, data, offsets in text_chunks(batch.column("text")):
-                name, doc, at, content, _ = templates(data, offsets, lead, min_words)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(content[doc].view(np.int64)), pa.array(k1[row + doc]), pa.array(k2[row + doc]), pa.array(at.astype(np.int32))], ["template", "content", "k1", "k2", "line"])
+                w = words(data, offsets)
+                name, doc, at, _ = parsed(data, offsets, lead, min_words, w, word_hashes(data, w))
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(k1[row + doc]), pa.array(k2[row + doc]), pa.array(at.astype(np.int32))], ["template", "k1", "k2", "line"])
 
     return run
 
 
-def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """template, n_docs and n_contents of the templates that recur."""
-    rows = lines.select("template", "content", "k1", "k2").distinct().groupBy("template", "content").agg(F.count("*").alias("n"))
+def common(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """template of those that min_docs documents have."""
+    seen = lines.select("template", "k1", "k2").distinct().groupBy("template").agg(F.count("*").alias("n_docs"))
+    return seen.where(F.col("n_docs") >= min_docs).select("template")
+
+
+def recurring(lines: DataFrame, groups: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """template, n_docs and n_contents of the templates that recur; `groups` has the content of each document."""
+    rows = lines.select("template", "k1", "k2").distinct().join(groups, ["k1", "k2"]).groupBy("template", "content").agg(F.count("*").alias("n"))
     seen = rows.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_contents"))
     return seen.where(F.col("n_contents") >= min_docs)
 
@@ -103,9 +117,10 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_W
     """doc_id, n_lines, n_dropped, clean_text and rest (the other columns) for each row of `docs`."""
     held = carried(docs)
     keyed = held.select("doc_id", "text", "rest", *row_key())
-    lines = keyed.select("text", "k1", "k2").mapInArrow(_emit(lead, min_words), "template long, content long, k1 long, k2 long, line int")
+    lines = keyed.select("text", "k1", "k2").mapInArrow(_emit(lead, min_words), "template long, k1 long, k2 long, line int")
     # checkpointed, so that the join can be a broadcast when they are few, and a hot template's rows can be split when they are not
-    found = lines.join(checkpointed(recurring(lines, min_docs).select("template")), "template")
+    found = checkpointed(lines.join(checkpointed(common(lines, min_docs)), "template"))
+    found = found.join(checkpointed(recurring(found, contents(held), min_docs).select("template")), "template")
     cuts = checkpointed(found.groupBy("k1", "k2").agg(F.collect_set("line").alias("cut")))
     kinds = T.StructType([*(T.StructField(k, T.LongType()) for k in ("doc_id", "k1", "k2")), held.schema["rest"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("clean_text", T.StringType())])
     return keyed.join(cuts, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "rest", "text", "cut").mapInArrow(_drop, kinds)

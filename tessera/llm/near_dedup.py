@@ -219,6 +219,13 @@ def near_groups(docs: DataFrame, **options) -> DataFrame:
     return found.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), first.alias("first"))
 
 
+def contents(docs: DataFrame, **options) -> DataFrame:
+    """k1, k2 and content, the near-duplicate group, of each row of `docs` that has shingles; repeated rows once."""
+    signed, roots = classes_and_links(docs, **options)
+    named = signed.where("n > 0").select("k1", "k2", "class").distinct().join(roots.withColumnRenamed("node", "class"), "class", "left")
+    return named.select("k1", "k2", F.coalesce("root", "class").alias("content"))
+
+
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """`docs` with one row of each near-duplicate group, its smallest doc_id."""
     stay = near_groups(docs, **options).where("first").groupBy("k1", "k2").agg(F.max(F.col("n_shingles") > 0).alias("alone"))

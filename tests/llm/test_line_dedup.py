@@ -64,3 +64,23 @@ def test_a_large_group_of_copies_keeps_no_line(spark):
     rows = [(i, f"{t}\n{notice}") for i, t in enumerate([*texts, *[copy] * 60])]
     found = L.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(found) == 72 and all(r.n_dropped == 1 and notice not in r.clean_text for r in found)
+
+
+def test_a_shared_line_that_supplies_the_least_hash_recurs(spark):
+    for seed in range(500):
+        notice, *texts = unrelated(21, 30, seed)
+        texts = [f"{t} {u}\n{notice}" for t, u in zip(texts, unrelated(20, 40, 1000 + seed), strict=True)]
+        if len({int(next(L.templates(d, o, 3, 1)[3][0] for _, _, d, o in text_chunks(pa.array([t])))) for t in texts}) < L.MIN_DOCS:
+            break
+    else:
+        raise AssertionError("no notice holds the least hash")
+    found = L.drop_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.n_dropped for r in found] == [1] * 20 and not any(notice in r.clean_text for r in found)
+
+
+def test_many_near_copies_are_one_content(spark):
+    body = unrelated(6, 40)
+    texts = ["\n".join([*body, f"edited by {x} and others"]) for x in unrelated(300, 1, 5)]
+    rows = list(enumerate(texts))
+    found = L.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.clean_text) for r in found) == rows
