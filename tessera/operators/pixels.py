@@ -208,18 +208,37 @@ def component_boxes(plane: np.ndarray) -> list[tuple]:
     return [(x, y, x + w, y + h, 1.0, n) for x, y, w, h, n in components(mask)[1] if n >= max(18, mask.size // 500) and w >= 6 and h >= 6]
 
 
+def proposal_foci(parts: list[tuple], texts: list[tuple], shape: tuple[int, int]) -> list[tuple[int, int, int, int]]:
+    """The focus of each ink component, as plans.convert.detect_flow has it: its box with a margin and the texts that touch it, within the picture."""
+    h, w = shape
+    margin, out = max(6.0, min(h, w) / 32), []
+    for x0, y0, x1, y1, *_ in parts:
+        a, b, c, d = x0 - margin, y0 - margin, x1 + margin, y1 + margin
+        near = [t[:4] for t in texts if t[0] <= c and t[2] >= a and t[1] <= d and t[3] >= b]
+        low, high = np.min([(a, b), *(t[:2] for t in near)], axis=0), np.max([(c, d), *(t[2:] for t in near)], axis=0)
+        out.append((max(0, round(low[0])), max(0, round(low[1])), min(w, round(high[0])), min(h, round(high[1]))))
+    return list(dict.fromkeys(out))
+
+
 def node_boxes(plane: np.ndarray, focus: tuple[int, int, int, int]) -> list[tuple]:
-    """Outlined boxes in the focus: background components it encloses that fill their box."""
+    """Boxes in the focus, by its own threshold: outlined ones (background components it encloses that fill their box) and filled ones (ink that fills its box).
+
+    Background that touches an edge of the focus is outside; ink that an edge inside the picture cuts is whole in another focus.
+    """
     x0, y0, x1, y1 = focus
     crop = plane[y0:y1, x0:x1]
     if not crop.size:
         return []
     whole = (x1 - x0) * (y1 - y0)
+    dark = ink(crop)
     out = []
-    for x, y, w, h, area in components(~ink(crop))[1]:
-        outer = x == 0 or y == 0 or x + w == crop.shape[1] or y + h == crop.shape[0]
-        if not outer and w >= 18 and h >= 16 and area >= max(120.0, 0.035 * whole) and area / (w * h) >= 0.5 and w * h < 0.96 * whole:
-            out.append((x0 + x, y0 + y, x0 + x + w, y0 + y + h, area / (w * h), area))
+    for filled, mask in ((False, ~dark), (True, dark)):
+        for x, y, w, h, area in components(mask)[1]:
+            edges = (x == 0, y == 0, x + w == crop.shape[1], y + h == crop.shape[0])
+            cut = (x0 > 0, y0 > 0, x1 < plane.shape[1], y1 < plane.shape[0])
+            outer = any(e and c for e, c in zip(edges, cut, strict=True)) if filled else any(edges)
+            if not outer and w >= 18 and h >= 16 and area >= max(120.0, 0.035 * whole) and area / (w * h) >= 0.5 and w * h < (0.85 if filled else 0.96) * whole:
+                out.append((x0 + x, y0 + y, x0 + x + w, y0 + y + h, area / (w * h), area))
     return out
 
 
@@ -303,7 +322,7 @@ def picture_rows(rgb: np.ndarray) -> list[tuple]:
     picture = picture_boxes(planes["style"], text_mask)
     canvas = subtracted(soft_masked(planes["canvas"], text_mask), residual(_mask_of(picture, planes["canvas"].shape)))
     parts = component_boxes(canvas)
-    node = node_boxes(canvas, (0, 0, canvas.shape[1], canvas.shape[0]))
+    node = list({n[:4]: n for focus in proposal_foci(parts, text, canvas.shape) for n in node_boxes(canvas, focus)}.values())
     mask = ink(canvas)
     found = segments(mask)
     lines = [(a, b, c + 1, d + 1, 1.0, max(c - a, d - b) + 1) for a, b, c, d in found]

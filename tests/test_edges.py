@@ -175,3 +175,15 @@ def test_pictures_become_scenes(spark):
     made = convert.convert(pixels.drawings(spark.createDataFrame([(1, 3)], "slide_id long, seed int").coalesce(1)))
     nodes, containers = made["nodes"].count(), made["containers"].count()
     assert nodes >= 2 and containers >= 1 and made["ports"].count() == 4 * (nodes + containers)
+
+
+def test_small_and_filled_boxes_are_nodes():
+    rgb = np.full((800, 1200, 3), 255, np.uint8)
+    frames = [(100, 100, 260, 250), (400, 100, 560, 250)]  # lower ones pass as text
+    for x0, y0, x1, y1 in frames:
+        rgb[y0:y1, x0:x1] = 0
+        rgb[y0 + 4 : y1 - 4, x0 + 4 : x1 - 4] = 255
+    rgb[173:177, 260:400] = 0
+    rgb[500:580, 700:860] = 60
+    found = [r[1:5] for r in pixels.picture_rows(rgb) if r[0] == "node"]
+    assert sorted(found) == [(104, 104, 256, 246), (404, 104, 556, 246), (700, 500, 860, 580)]
