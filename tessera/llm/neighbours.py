@@ -25,6 +25,8 @@ from .common import table
 DIMENSIONS, BLOCK, QUERIES, LEAF, CONFIDENCE, NEAREST, STEP = 8, 20_000, 2_000, 256, 0.95, 5, 50
 #: Leaves that a query sees in its own order before the stopping test; points kept beyond k + 1 until exact cosines decide.
 FIRST, SPARE = 3, 10
+#: Squared distances this close may be in either order by rounding.
+MARGIN = 1e-12
 
 
 def chi_square_quantile(p: float, k: int) -> float:
@@ -126,6 +128,9 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
     out = []
     for place, qid in enumerate(query_ids.tolist()):
         found = at[place][at[place] >= 0]
+        reach = best[place, k] + MARGIN
+        if best[place, -1] <= reach < np.inf:  # more points tie within rounding than are kept: all of them are ranked
+            found = np.union1d(found, np.flatnonzero(2 - 2 * (unit @ u[place]) <= reach))
         scores = cosine(points[found], asked[place])
         rows_ = [(-s, i) for s, p in zip(scores.tolist(), found.tolist(), strict=True) for i in ids[held[start[p] : min(start[p] + k + 1, start[p + 1])]].tolist() if i != qid]
         out += [(place, i, -s) for s, i in sorted(rows_)[:k]]

@@ -54,3 +54,14 @@ def test_odd_rows(spark):
 def test_quantile():
     x = np.random.default_rng(1).normal(size=(200_000, 8))
     assert abs(np.quantile((x * x).sum(1), 0.95) - N.chi_square_quantile(0.95, 8)) < 0.1
+
+
+def test_more_ties_within_rounding_than_are_kept():
+    rng = np.random.default_rng(2)
+    v, far = rng.normal(size=16), rng.normal(size=(300, 16))
+    copies = v * rng.uniform(0.5, 2, (200, 1))
+    vectors = np.concatenate((far, copies))
+    ids = rng.permutation(len(vectors))
+    found = N.search(ids, vectors, np.array([-1]), v[None] * 1.1, 5, N.DIMENSIONS, 64, N.CONFIDENCE)
+    scores = N.cosine(vectors, v * 1.1)
+    assert [(i, s) for _, i, s in found] == [(i, -s) for s, i in sorted(zip((-scores).tolist(), ids.tolist(), strict=True))[:5]]
