@@ -4,7 +4,7 @@ Documents become token pieces of at most 2048 tokens; only longer documents are
 best-fit decreasing in partitions of bounded size. A lower bound from dual feasible functions certifies a partition whose bin count meets it.
 Then bins that are not full are exchanged: in each further round they meet in fewer partitions, drawn anew, their documents are repacked by best-fit
 decreasing, and the new packing is taken if it needs fewer bins. Rounds end when the bound over all pieces is met, or two rounds
-in fewest partitions gain nothing. Bins move as whole rows of pieces, so a round's work is bounded by the bins still open.
+in fewest partitions gain not one bin. Bins move as whole rows of pieces, so a round's work is bounded by the bins still open.
 
 Token ids come from a public vocabulary. A document's ids are those of its text (strings of special tokens are ordinary text), then the end id 0.
 
@@ -18,6 +18,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count as count_from
 
 import numpy as np
 import pyarrow as pa
@@ -174,7 +175,7 @@ def _pack_group(round_: int, capacity: int):
         if round_ and used >= len(names):
             where, offset, used, names = kept, group.column("offset").to_numpy(), len(names), names
         else:
-            names = ((round_ << 56) | (int(key[0].as_py()) << 24)) + np.arange(used)
+            names = ((round_ << 47) | (int(key[0].as_py()) << 24)) + np.arange(used)
         fill = np.bincount(where, lengths, used).astype(np.int64)
         open_ = fill < capacity
         if used <= lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity):
@@ -186,7 +187,7 @@ def _pack_group(round_: int, capacity: int):
     return run
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = 12) -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """`found` (pieces) with sequence_id and offset. Lengths must lie in 1..capacity; more columns of `found` are left out."""
 
     def packed(df: DataFrame, rows: int, round_: int, *key: str) -> DataFrame:
@@ -202,8 +203,8 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
         count[r["length"]] = r["count"]
     least = lower_bound(count, capacity)
     current = packed(found.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("open")), int(count.sum()), 0, "doc_id", "piece", "ids_crc32")
-    done, closed, idle = [], 0, 0
-    for round_ in range(1, rounds + 1):
+    done, closed, idle, fewest = [], 0, 0, None
+    for round_ in count_from(1):
         done.append(current.where("not open"))
         closed += bins(done[-1])
         current = current.where("open")
@@ -211,7 +212,9 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
         if closed + before <= least or before <= 1 or idle == 2:
             break
         current = packed(current, rows, round_, "sequence_id")
-        idle = 0 if before - bins(current) > before // 1000 else idle + 1
+        parts = max(1, -(-rows // group))
+        idle = 0 if bins(current) < before or fewest is None or parts < fewest else idle + 1
+        fewest = parts if fewest is None else min(parts, fewest)
     out = current
     for d in done:
         out = out.union(d)

@@ -98,3 +98,25 @@ def test_bound_and_best_fit_against_all_packings(items):
     for b in range(used):
         inside = sorted((o, n) for w, o, n in zip(where, offset, items) if w == b)
         assert [o for o, _ in inside] == [sum(n for _, n in inside[:i]) for i in range(len(inside))] and sum(n for _, n in inside) <= 20
+
+
+def test_rounds_go_on_while_bins_are_saved(spark, monkeypatch):
+    df = spark.createDataFrame([(i, 0, 0, 700, 0) for i in range(40)], packing.PIECES)
+    rounds, saves = [], {3: 1, 5: 1, 7: 1}
+
+    def pack_group(round_, capacity):
+        rounds.append(round_)
+        left = 4000 - sum(v for k, v in saves.items() if k <= round_)
+
+        def run(key, group):
+            at = np.arange(len(group))
+            new = {"sequence_id": np.minimum(at, left - 3971), "offset": np.where(at < left - 3970, 0, 1), "open": np.ones(len(at), bool)}
+            columns = [c.strip().split()[0] for c in packing.PACKED.split(",")]
+            return packing.pa.table([packing.pa.array(new[k]) if k in new else group.column(k) for k in columns], names=columns)
+
+        return run
+
+    monkeypatch.setattr(packing, "_pack_group", pack_group)
+    monkeypatch.setattr(packing, "lower_bound", lambda *_: 0)
+    packing.pack(df)
+    assert rounds == list(range(10))
