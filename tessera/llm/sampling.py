@@ -10,18 +10,19 @@ the subtrees wait in a queue by that bound, and the best one is opened next. Seg
 log-probability p has inclusion score 1 - exp(-exp(p - t)), its probability to be among the k at that threshold; it is given as a logarithm, as long texts have very many segmentations.
 
 Random numbers are hashes of the row key, the sample and the place, so a row's samples don't depend on its batch. Pieces never reach over the start of
-a word, so lattices are built per distinct word of a batch and whole texts of any length are sampled as chains of words. Decoding is exact.
+a word, so lattices are built per distinct word of a batch and whole texts of any length are sampled as chains of words. Words are told apart by hashes, then compared. Decoding is exact.
+Along a path the probability only falls and a Gumbel number of 53 bits is below CEILING, so places too far down to beat the k + 1 best ones are never perturbed.
 
 Defined cases: a null or empty text has one segmentation, without pieces, at inclusion 1 (logarithm 0); fewer than k segmentations give fewer rows; repeated rows get the same
-samples each; a null doc_id is key -1; an empty table gives an empty result.
+samples each; a null doc_id is key -1; columns other than doc_id and text, whatever their names, are ignored; a text of any length is one row of work, in memory
+proportional to it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,10 @@ from .common import plain, table
 from .hashing import U, mix
 
 SAMPLES, BATCH = 2, 2_000_000
+#: No Gumbel number of uniform() is larger; places perturbed at first.
+CEILING, SPAN = 36.75, 128
 #: What the vocabulary writes for a space; a stand-in for that character itself, which no text can hold.
 _SPACE, _LITERAL = "▁", "\udc00"
-_CHUNK = re.compile("▁+[^▁]*|[^▁]+")
 _Q = U(0xD6E8FEB86659FD93)
 
 
@@ -49,7 +51,9 @@ class Vocabulary:
         plain_ = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.bytes = {int(names[i][3:-1], 16): i for i in range(n) if model.is_byte(i)}
         of_byte = {i: bytes([b]) for b, i in self.bytes.items()}
-        self.spelt = [of_byte.get(i, names[i].replace(_SPACE, " ").encode()) for i in range(n)]
+        spelt = [of_byte.get(i, names[i].replace(_SPACE, " ").encode()) for i in range(n)]
+        self.letters, self.size = np.frombuffer(b"".join(spelt), np.uint8), np.array([len(x) for x in spelt])
+        self.begin = np.cumsum(self.size) - self.size
         ranks = [max(0.0, min(-model.get_score(i), float(n))) for i in plain_]
         self.byte_weight = -np.log(1.0 + n)
         self.longest = max(len(names[i]) for i in plain_)
@@ -81,7 +85,7 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text; the first space is the marker of its beginning."""
-        return b"".join(map(self.spelt.__getitem__, ids.tolist()))[1:]
+        return self.letters[spread(self.begin[ids], self.size[ids])].tobytes()[1:]
 
 
 _held: dict = {}
@@ -94,19 +98,40 @@ def vocabulary(path: str | None = None) -> Vocabulary:
     return _held[path]
 
 
-def chunks(text: str) -> list[str]:
-    """Words with the spaces before them; none for the empty text."""
-    return _CHUNK.findall(_SPACE + text.replace(_SPACE, _LITERAL).replace(" ", _SPACE)) if text else []
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[i] .. begin[i] + size[i] - 1 for each i, one after another."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words with the spaces before them, as code points: those of the distinct words, their sizes, the number of each word of the texts, the words of each text."""
+    points = np.frombuffer("".join(" " + t for t in texts if t).encode("utf-32-le", "surrogatepass"), "<u4").copy()
+    sizes = np.array([len(t) + 1 if t else 0 for t in texts])
+    space = points == 0x20
+    points[points == ord(_SPACE)] = ord(_LITERAL)
+    points[space] = ord(_SPACE)
+    space[1:] &= ~space[:-1]
+    space[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    begin = np.flatnonzero(space)
+    size = np.diff(np.append(begin, len(points)))
+    place = np.arange(len(points)) - np.repeat(begin, size)
+    for salt in count(1):
+        power = np.full(int(size.max()) + 1, _Q, U)
+        power[0] = 1
+        name = np.add.reduceat(mix(points + U(salt << 32)) * np.multiply.accumulate(power)[place], begin)
+        _, first, number = np.unique(name, return_index=True, return_inverse=True)
+        of = first[number]
+        if (size[of] == size).all() and (points[np.repeat(begin[of], size) + place] == points).all():
+            break
+    per_text = np.diff(np.searchsorted(begin, np.concatenate(([0], np.cumsum(sizes)))))
+    return points[spread(begin[first], size[first])], size[first], number, per_text
 
 
 class Lattices:
     """Lattices of distinct words. Nodes are character places; edges lie by source node, with conditional probabilities."""
 
-    def __init__(self, parts: list[str], v: Vocabulary) -> None:
-        sizes = np.array([len(p) for p in parts])
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, v: Vocabulary) -> None:
         self.root = np.cumsum(sizes) - sizes
-        text = "".join(parts)
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         n = len(points)
         end = np.repeat(self.root + sizes, sizes)
         mixed, at = mix(points.astype(U)), np.arange(n)
@@ -114,10 +139,11 @@ class Lattices:
         h, scale = np.zeros(n, U), U(1)
         single = np.zeros(n, bool)
         for size in range(1, min(v.longest, int(sizes.max())) + 1):
-            at = at[at + size <= end[at]]
-            h = h[: n - size + 1] + scale * mixed[size - 1 :]
+            inside = at + size <= end[at]
+            at, h = at[inside], h[inside]
+            h += scale * mixed[at + (size - 1)]
             scale = U(int(scale) * int(_Q) & 0xFFFFFFFFFFFFFFFF)
-            fit, slot = v.find(mix(h[at]))
+            fit, slot = v.find(mix(h))
             found = at[fit]
             if size == 1:
                 single[found] = True
@@ -126,7 +152,7 @@ class Lattices:
             piece.append(v.ids[slot])
             weight.append(v.weights[slot])
         bare = np.flatnonzero(~single)
-        self.spelt = {int(i): [v.bytes[b] for b in (_SPACE if text[i] == _LITERAL else text[i]).encode("utf-8", "replace")] for i in bare}
+        self.spelt = {int(i): [v.bytes[b] for b in (_SPACE if points[i] == ord(_LITERAL) else chr(points[i])).encode("utf-8", "replace")] for i in bare}
         source.append(bare)
         length.append(np.ones(len(bare), np.int64))
         piece.append(-1 - bare)
@@ -183,17 +209,18 @@ class Lattices:
         order = np.argsort(who, kind="stable")
         return who[order], edges[order]
 
-    def ids(self, path: np.ndarray) -> np.ndarray:
-        piece = self.piece[path]
+    def ids(self, path: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """Ids of paths, of `sizes` edges each, that lie one after another."""
+        piece, ends = self.piece[path], np.cumsum(sizes)
         odd = np.flatnonzero(piece < 0)
-        if not len(odd):
-            return piece
-        spelt = [self.spelt[-1 - p] for p in piece[odd].tolist()]
-        sizes = np.ones(len(piece), np.int64)
-        sizes[odd] = [len(x) for x in spelt]
-        out = np.repeat(piece, sizes)
-        out[out < 0] = [b for x in spelt for b in x]
-        return out
+        if len(odd):
+            spelt = [self.spelt[-1 - p] for p in piece[odd].tolist()]
+            each = np.ones(len(piece), np.int64)
+            each[odd] = [len(x) for x in spelt]
+            ends = np.concatenate(([0], np.cumsum(each)))[ends]
+            piece = np.repeat(piece, each)
+            piece[piece < 0] = [b for x in spelt for b in x]
+        return np.split(piece, ends[:-1])
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -205,7 +232,8 @@ class Row:
     """Search state of one text."""
 
     def __init__(self, seed: int, roots: np.ndarray) -> None:
-        self.seed, self.roots, self.paths, self.queue = seed, roots, [], []
+        self.roots, self.paths, self.queue = roots, [], []
+        self.key, self.noise = mix(np.array([seed, seed ^ 0x5DEECE66D], U))
         # queue: of each path, what branches off at each place, before the cut at that path's bound
         self.bound = float(-np.log(-np.log(uniform(np.array([seed], U))[0])))
         self.opened: tuple[int, int, list[int]] | None = None
@@ -222,13 +250,13 @@ class Row:
 
 def sample(texts: list[str], seeds: list[int], v: Vocabulary, k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per text up to k of (ids, log-probability, perturbed value, log of the inclusion score), by perturbed value."""
-    split = [chunks(t) for t in texts]
-    names = {c: i for i, c in enumerate(dict.fromkeys(chain.from_iterable(split)))}
-    out: list[list] = [[] if s else [(np.empty(0, np.int64), 0.0, 0.0, 0.0)] for s in split]
-    if not names:
+    out: list[list] = [[] if t else [(np.empty(0, np.int64), 0.0, 0.0, 0.0)] for t in texts]
+    if not any(texts):
         return out
-    net = Lattices(list(names), v)
-    rows = {i: Row(seeds[i], net.root[np.fromiter(map(names.__getitem__, s), np.int64, len(s))]) for i, s in enumerate(split) if s}
+    points, sizes, number, per_text = words_of(texts)
+    net = Lattices(points, sizes, v)
+    edge = np.concatenate(([0], np.cumsum(per_text)))
+    rows = {i: Row(seeds[i], net.root[number[edge[i] : edge[i + 1]]]) for i, t in enumerate(texts) if t}
     active = list(rows)
     for turn in range(k):
         starts, keys, owner, prefixes = [], [], [], {}
@@ -241,8 +269,8 @@ def sample(texts: list[str], seeds: list[int], v: Vocabulary, k: int = SAMPLES)
                 taken = used.setdefault(place, [int(edges[place])])
                 node = net.source[taken[0]]
                 span = np.arange(net.first[node], net.first[node + 1])
-                free = span[~np.isin(span, taken)]
-                u = uniform(np.array([mix(np.array([r.seed], U))[0] + U((turn << 50) + place)], U))[0]
+                free = np.delete(span, np.array(taken) - span[0])
+                u = uniform(np.array([r.key + U((turn << 50) + place)], U))[0]
                 pick = int(free[min(int(np.searchsorted(np.cumsum(net.p[free]), u * net.p[free].sum(), "right")), len(free) - 1)])
                 r.bound, r.opened = bound, (path, place, taken)
                 prefix, at = np.append(edges[:place], pick), int(word[place])
@@ -254,39 +282,38 @@ def sample(texts: list[str], seeds: list[int], v: Vocabulary, k: int = SAMPLES)
             else:
                 prefixes[i] = (prefix, prefix, 0, -1)
             starts.append(roots)
-            keys.append(mix(np.array([r.seed], U)) + (np.arange(len(roots)) + prefixes[i][2]).astype(U) * U(1 << 20) + U((turn + 1) << 56))
+            keys.append(r.key + (np.arange(len(roots)) + prefixes[i][2]).astype(U) * U(1 << 20) + U((turn + 1) << 56))
             owner.append(len(roots))
         who, edges = net.walk(np.concatenate(starts), np.concatenate(keys))
         ends = np.searchsorted(who, np.cumsum(owner))
         begin = np.concatenate(([0], ends[:-1]))
         base = np.cumsum(owner) - owner
-        for n, i in enumerate(active):
-            r = rows[i]
+        whole = np.concatenate([x for n, i in enumerate(active) for x in (prefixes[i][0], edges[begin[n] : ends[n]])])
+        length = np.array([len(prefixes[i][0]) for i in active]) + ends - begin
+        to = np.cumsum(length)
+        log, upto = net.log[whole], np.empty(len(whole))
+        for a, b in zip((to - length).tolist(), to.tolist(), strict=True):
+            np.cumsum(log[a:b], out=upto[a:b])
+        noise = np.array([rows[i].noise for i in active], U) + U(turn << 50)
+        values = branches(net.alone[whole], log, upto, length, np.array([len(prefixes[i][0]) for i in active]), noise, k)
+        for n, (i, ids) in enumerate(zip(active, net.ids(whole, length), strict=True)):
+            r, at = rows[i], slice(to[n] - length[n], to[n])
             prefix, words_, first_word, pick = prefixes[i]
-            own = edges[begin[n] : ends[n]]
-            path = np.concatenate((prefix, own))
-            word = np.concatenate((words_, who[begin[n] : ends[n]] - base[n] + first_word))
-            log = net.log[path]
-            upto = np.cumsum(log)
             if turn:
-                j = len(prefix) - 1
+                j = at.start + len(prefix) - 1
                 old, place, taken = r.opened
                 taken.append(pick)
                 free, above = r.queue[old]
                 node = net.source[pick]
                 left = float(net.p[net.first[node] : net.first[node + 1]].sum() - net.p[taken].sum()) if net.first[node + 1] - net.first[node] > len(taken) else 0.0
-                value = cut(float(gumbel(np.array([upto[j] - log[j]]), np.array([left]), r, turn, np.array([place]), 1 << 49)[0]), r.bound)
+                u = uniform(np.array([r.noise + U((turn << 50) + (1 << 49) + place)], U))
+                value = cut(float(gumbel(upto[j : j + 1] - log[j], np.array([left]), u)[0]), r.bound)
                 # what its place holds is cut at `above`: the raw value that becomes this one
                 free[place] = value - np.log1p(-np.exp(value - above)) if left > 0 else -np.inf
-                new = np.full(len(path), -np.inf)
-                at = np.arange(len(prefix), len(path))
-            else:
-                new, at = np.empty(len(path)), np.arange(len(path))
-            mass = np.where(net.alone[path[at]], 0.0, -np.expm1(log[at]))
-            new[at] = gumbel(upto[at] - log[at], mass, r, turn, at, 0)
-            r.paths.append((path, word, {}))
-            r.queue.append((new, r.bound))
-            out[i].append([net.ids(path), float(upto[-1]), r.bound])
+            word = np.concatenate((words_, who[begin[n] : ends[n]] + (first_word - base[n]))) if turn < k - 1 else None
+            r.paths.append((whole[at], word, {}))
+            r.queue.append((values[n], r.bound))
+            out[i].append([ids, float(upto[at.stop - 1]), r.bound])
         active = [i for i in active if rows[i].best()[0] > -np.inf]
         if not active:
             break
@@ -301,13 +328,39 @@ def log_inclusion(above: float) -> float:
     return above if above < -30 else float(np.log(-np.expm1(-np.exp(min(above, 50.0)))))
 
 
-def gumbel(prefix: np.ndarray, mass: np.ndarray, r: Row, turn: int, place: np.ndarray, salt: int) -> np.ndarray:
+def gumbel(prefix: np.ndarray, mass: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Largest perturbed value in subtrees of log-probability prefix + log(mass), not yet cut at the parent's; -inf without mass."""
-    u = uniform(mix(np.array([r.seed ^ 0x5DEECE66D], U)) + place.astype(U) + U((turn << 50) + salt))
     with np.errstate(divide="ignore"):
         return np.where(mass > 0, prefix + np.log(np.maximum(mass, 0)) - np.log(-np.log(u)), -np.inf)
 
 
+def branches(alone: np.ndarray, log: np.ndarray, upto: np.ndarray, length: np.ndarray, begin: np.ndarray, noise: np.ndarray, k: int) -> list[np.ndarray]:
+    """Of paths that lie one after another, the values of what branches off at each place from `begin` on; -inf before, and where none of the k + 1 best can lie."""
+    first = np.cumsum(length) - length
+    out, end, least, span = np.full(len(log), -np.inf), begin.copy(), np.full(len(length), -np.inf), SPAN
+    open_ = np.flatnonzero(end < length)
+    while len(open_):
+        above = np.where(end[open_] > 0, upto[first[open_] + end[open_] - 1], 0.0)  # no place from here on is likelier
+        size = np.minimum(span, length[open_] - end[open_])
+        fits = above + CEILING >= least[open_]
+        open_, above, size = open_[fits], above[fits], size[fits]
+        place = spread(end[open_], size)
+        u = uniform(np.repeat(noise[open_], size) + place.astype(U))
+        with np.errstate(over="ignore"):
+            reach = np.exp(-np.exp(above - least[open_])) * (1 - 1e-9)
+        fit = np.flatnonzero(u >= np.repeat(reach, size))
+        at = (np.repeat(first[open_], size) + place)[fit]
+        out[at] = gumbel(upto[at] - log[at], np.where(alone[at], 0.0, -np.expm1(log[at])), u[fit])
+        end[open_] += size
+        span *= 2
+        open_ = open_[end[open_] < length[open_]]
+        for n in open_.tolist():
+            found = out[first[n] + begin[n] : first[n] + end[n]]
+            if len(found) > k:
+                least[n] = np.partition(found, -k - 1)[-k - 1]
+    return [out[a : a + e] for a, e in zip(first.tolist(), end.tolist(), strict=True)]
+
+
 def cut(free: float, bound: float) -> float:
     """A Gumbel value given that it is below `bound`: -log(exp(-free) + exp(-bound))."""
     low, high = min(free, bound), max(free, bound)

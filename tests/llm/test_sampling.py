@@ -1,8 +1,11 @@
+import re
 from collections import Counter
 from itertools import product
 
 import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from tessera.llm import sampling as S
@@ -14,31 +17,35 @@ def v():
     return S.vocabulary()
 
 
-def every(text, v):
-    """All segmentations with their log-probabilities."""
-    parts = S.chunks(text)
-    names = {c: i for i, c in enumerate(dict.fromkeys(parts))}
-    net = S.Lattices(list(names), v)
-
-    def paths(node):
-        for e in range(net.first[node], net.first[node + 1]):
-            for rest in [[]] if net.next[e] < 0 else paths(net.next[e]):
-                yield [e, *rest]
-
-    per = [list(paths(net.root[names[c]])) for c in parts]
-    weight = {int(i): w for i, w in zip(v.ids, v.weights, strict=True)}
-    out = {}
-    for choice in product(*per):
-        path = np.array(sum(choice, []))
-        ids = tuple(net.ids(path).tolist())
-        out[ids] = sum(weight.get(i, v.byte_weight) for i in ids)
+def every(text):
+    """All segmentations with their log-probabilities, from the vocabulary file alone."""
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    n = model.get_piece_size()
+    rank = {model.id_to_piece(i): (i, min(max(0.0, -model.get_score(i)), n)) for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
+
+    def paths(word):
+        if not word:
+            yield (), 0.0
+        for end in range(1, len(word) + 1):
+            piece = word[:end]
+            if piece in rank:
+                head = (rank[piece][0],), -np.log(1 + rank[piece][1])
+            elif end == 1:
+                head = tuple(model.piece_to_id(f"<0x{b:02X}>") for b in piece.encode()), -np.log(1 + n) * len(piece.encode())
+            else:
+                continue
+            for ids, weight in paths(word[end:]):
+                yield head[0] + ids, head[1] + weight
+
+    words = re.findall("▁+[^▁]*", "▁" + text.replace(" ", "▁"))
+    out = {sum((ids for ids, _ in choice), ()): sum(w for _, w in choice) for choice in product(*(list(paths(w)) for w in words))}
     total = np.log(sum(np.exp(x) for x in out.values()))
     return {k: x - total for k, x in out.items()}
 
 
 def test_samples_follow_the_lattice(v):
     text, n, k = "the ca t", 3000, 3
-    exact = every(text, v)
+    exact = every(text)
     found = S.sample([text] * n, [int(x) for x in mix(np.arange(n).astype(np.uint64))], v, k)
     first, total, seen = Counter(), 0.0, Counter()
     for rows in found:
@@ -64,6 +71,20 @@ def test_round_trip_and_batches(v, text):
     assert len({tuple(r[0].tolist()) for r in one[0]}) == len(one[0]) >= 1 and all(-np.inf < r[3] <= 0 for r in one[0])
 
 
+@pytest.mark.parametrize("text", ["dog", "é 漢字", "a  b", "😀 on"])
+def test_all_segmentations_are_found(v, text):
+    exact = every(text)
+    rows = S.sample([text], [11], v, len(exact) + 5)[0]
+    assert {tuple(r[0].tolist()) for r in rows} == set(exact)
+    assert all(abs(exact[tuple(r[0].tolist())] - r[1]) < 1e-9 for r in rows)
+
+
+def test_long_texts(v):
+    text = "".join(f"wörd{i % 977} {'  ' if i % 11 else ''}x{i}," for i in range(40_000))
+    rows = S.sample([text, "short"], [3, 4], v, 2)[0]
+    assert len(text) > 500_000 and [v.decode(r[0]) for r in rows] == [text.encode()] * 2 and (rows[0][0].tolist() != rows[1][0].tolist())
+
+
 def test_whole_table(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = S.query(spark, data).collect()
@@ -72,7 +93,7 @@ def test_whole_table(spark, data):
 
 
 def test_odd_rows(spark):
-    df = spark.createDataFrame([(1, None), (2, ""), (None, "ab"), (3, "ab"), (3, "ab")], "doc_id long, text string").withColumn("sample", F.lit(1))
+    df = spark.createDataFrame([(1, None), (2, ""), (None, "ab"), (3, "ab"), (3, "ab")], "doc_id long, text string").withColumn("sample", F.lit(1)).withColumn("ids", F.lit("x"))
     found = S.segmentations(df)
     rows = found.collect()
     assert Counter(r.doc_id for r in rows) == {1: 1, 2: 1, None: 2, 3: 4} and all(r.decodes for r in rows)
