@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +15,30 @@ def partitions(spark: SparkSession) -> int:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder; its lineage ends there.
+    """`df` written to the shared checkpoint folder, spark.checkpoint.dir; its lineage ends there.
 
-    The folder is spark.checkpoint.dir. Only where that is unset (single-machine tests) a temporary one is made.
+    Without that setting the session must have been given a folder (setCheckpointDir), as tests do: a folder of one machine would not survive on a cluster.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = f"{context.getConf().get('spark.local.dir', '/tmp')}/checkpoints-{context.applicationId}"  # all executors are threads of this process
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
+#: Rows of a few numbers each that may be sent to every executor: some 20 MB.
+FEW = 500_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """`df` (a checkpointed table of a few numbers a row), marked for broadcast if it is counted to be small enough; joins shuffle it otherwise, to the same result."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Two longs that name a row. Rows with the same id and text share them, and also share every decision taken on content."""
     return [
@@ -43,11 +55,12 @@ def plain(docs: DataFrame) -> DataFrame:
 def carried(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and text as plain() has them, and all other columns in one struct, `rest`: their names cannot clash with an operator's own."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", text)]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*others, F.col(text).isNull().alias("_null_text")).alias("rest"))
+    kept = F.struct(F.col(text).isNull().alias("null_text"), F.struct(*others).alias("columns") if others else F.lit(None).cast("int").alias("columns"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), kept.alias("rest"))
 
 
 def restored(found: DataFrame, columns: list[str], text: str = "clean_text") -> DataFrame:
     """The columns of documents again, with the new text; n_chars follows it."""
-    new = F.when(F.col("rest._null_text"), F.lit(None)).otherwise(F.col(text))
+    new = F.when(F.col("rest.null_text"), F.lit(None)).otherwise(F.col(text))
     out = {"doc_id": F.col("doc_id"), "text": new, "n_chars": F.coalesce(F.length(new), F.lit(0)).cast("long")}
-    return found.select(*(out.get(c, F.col(f"rest.`{c}`")).alias(c) for c in columns))
+    return found.select(*((out[c] if c in out else F.col(f"rest.columns.`{c}`")).alias(c) for c in columns))

@@ -1,16 +1,21 @@
 """Operator 6: line deduplication by a log-template tree.
 
-A line's path in the tree is its word count and its leading words; variable fields (words that hold a digit) are one wildcard, on the path as well as
-below it. The leaf entry, all words with wildcards, is the line's template. The tree has a fixed depth and no state, so a template gets the same name wherever
-it is parsed, and the tree is a table of template names.
-
-A template recurs if documents with MIN_DOCS different contents have it. Copies of a document do not count twice: a content is a near-duplicate group of whole
-texts (operator 8, verified on full shingle sets), so neither a line that unrelated documents share nor the number of copies moves the count. However many copies one content has, MIN_DOCS different ones make a template recur. All lines of recurring templates are dropped, blank and shorter lines (under MIN_WORDS words) never.
-
-Templates of fewer than MIN_DOCS documents are left out first, which loses none. Counting is by (template, content) and then by template, both pre-aggregated,
-and only recurring templates are joined back, so a line that every document has meets in no single task.
-
-Defined cases: null text has no lines and stays null; repeated rows count once; a document whose lines all go keeps an empty text; an empty table gives an empty result.
+The tree has a fixed depth: a line's word count, then its first LEAD words. Words that hold a digit are wildcards from the start. On the path, a word that fewer
+than MIN_DOCS different lines of its parent node have is a wildcard too (all such words share one child); a path with more than WILD of them is no leaf.
+At a leaf, a position is constant for a line if its word stands there in SHARE of the leaf's different lines, and in MIN_DOCS of them; all other positions are
+variable fields. A line whose constants are SIMILAR of its words gets the template (leaf, constants); any other line is a template by itself.
+All counts are of different lines, so a line that is copied often makes no word frequent.
+
+A template recurs if it stands in MIN_DOCS different contents. What tells contents apart is the document without the template's line, which the line therefore
+cannot supply: of every line, BANDS bands of ROWS minimum hashes over the five-word shingles of all other lines of its document. Documents without a band in common
+are different contents; those that share bands are merged by their most frequent band, so a group of copies, exact or near, is one content however
+large it is, and its lines are left to the near-duplicate stage. All lines of recurring templates are dropped, blank and shorter lines (under MIN_WORDS words) never.
+
+The tree is a few tables: words per node, words per leaf and position, both pre-aggregated; no node's lines meet in one task. Templates of fewer than MIN_DOCS lines are left
+out before contents are counted, which loses none.
+
+Defined cases: null text has no lines and stays null; repeated rows, and rows with a null doc_id, count once per text and are all cleaned; a document whose lines all go keeps an
+empty text; other columns, whatever their names, are kept; very long texts and lines are parsed whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,78 +28,138 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, checkpointed, restored, row_key, table
-from .near_dedup import contents
-from .hashing import DIGIT, U, Words, lists, mix, text_chunks, windows, word_hashes, words
+from .common import carried, checkpointed, few, restored, row_key, table
+from .hashing import DIGIT, U, lists, mix, spread, text_chunks, windows, word_hashes, words
 
 MIN_DOCS, MIN_WORDS, LEAD = 8, 3, 3
-#: Different contents that a template needs for each document of its largest content: none, copies never keep a template.
-SPREAD = 0.0
-_FIELD = U(0x51ED270B7F4A7C15)
-
-
-def parsed(data: np.ndarray, offsets: np.ndarray, lead: int, min_words: int, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(template, document, line in it, words) of each line of min_words words at least."""
-    n = len(h)
+#: Wildcards a path may hold; share of a leaf's lines that makes a word constant; share of constants that makes a template.
+WILD, SHARE, SIMILAR = 1, 0.25, 0.6
+#: Sketch of what surrounds a line.
+SHINGLE, BANDS, ROWS = 5, 12, 3
+_FIELD, _NONE = U(0x51ED270B7F4A7C15), U(0xFFFFFFFFFFFFFFFF)
+LINES = "body long, k1 long, k2 long, line int, n int, words array<int>, keys array<int>"
+
+
+def surroundings(grams: np.ndarray, line: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Band keys of each line's document without that line, and without lines equal to it. `grams` lie by line (each has one at least), lines by document."""
+    begin, first = np.searchsorted(line, np.arange(len(doc))), np.flatnonzero(np.diff(doc, prepend=-1))
+    size = np.diff(np.append(first, len(doc)))
+    out = np.zeros((len(doc), BANDS), U)
+    for r in range(BANDS * ROWS):
+        factor, shift = mix(np.array([2 * r + 1, 2 * r + 2], U))
+        least = np.minimum.reduceat(grams * (factor | U(1)) + shift, begin)
+        whole = np.repeat(np.minimum.reduceat(least, first), size)
+        own = least == whole
+        other = np.repeat(np.minimum.reduceat(np.where(own, _NONE, least), first), size)
+        out[:, r // ROWS] = mix(out[:, r // ROWS] + np.where(own, other, whole))
+    return (out >> U(32)).astype(np.uint32).view(np.int32)
+
+
+def parsed(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """Of each line of min_words words at least: body (a hash of all its words), document, number of the line in it, word count, band keys; and all their words, digits masked."""
+    w = words(data, offsets)
+    h = word_hashes(data, w)
+    if not len(h):
+        none = np.empty(0, np.int64)
+        return none.view(U), none, none, none, np.empty((0, BANDS), np.int32), none.astype(np.int32)
     digits = np.concatenate(([0], np.cumsum(DIGIT[data])))
-    field = digits[w.ends] > digits[w.starts]
-    masked = np.where(field, _FIELD, h)
+    masked = np.where(digits[w.ends] > digits[w.starts], _FIELD, h)
     breaks = np.flatnonzero(data == 10)
     line = np.searchsorted(breaks, w.starts)  # over the chunk; documents also end lines
-    new = np.ones(n, bool)
-    if n:
-        new[1:] = (line[1:] != line[:-1]) | (w.doc[1:] != w.doc[:-1])
+    new = np.ones(len(h), bool)
+    new[1:] = (line[1:] != line[:-1]) | (w.doc[1:] != w.doc[:-1])
     first = np.flatnonzero(new)
-    size = np.diff(np.append(first, n))
-    doc = w.doc[first] if n else first
-    place = np.arange(n) - np.repeat(first, size)
-    term = mix(masked + place.astype(U))
-    path = np.add.reduceat(np.where(place < lead, term, U(0)), first) if n else np.empty(0, U)
-    rest = np.add.reduceat(np.where(place < lead, U(0), term), first) if n else np.empty(0, U)
-    name = mix(mix(path + size.astype(U)) + rest)
-    at = line[first] - np.searchsorted(breaks, offsets[doc]) if n else first
+    size = np.diff(np.append(first, len(h)))
+    doc = w.doc[first]
+    place = np.arange(len(h)) - np.repeat(first, size)
+    body = mix(mix(np.add.reduceat(mix(masked + place.astype(U)), first)) + size.astype(U))
+    # shingles that lie within a line; of a shorter line, the whole line
+    of = np.cumsum(new) - 1
+    starts = np.flatnonzero(np.where(size[of] >= SHINGLE, place + SHINGLE <= size[of], place == 0))
+    grams = np.append(mix(windows(h, SHINGLE)), np.zeros(min(SHINGLE - 1, len(h)), U))[starts]
+    short = size[of[starts]] < SHINGLE
+    grams[short] = body[of[starts]][short]
+    keys = surroundings(grams, of[starts], doc)
     keep = size >= min_words
-    return name[keep], doc[keep], at[keep], size[keep]
+    at = line[first] - np.searchsorted(breaks, offsets[doc])
+    return body[keep], doc[keep], at[keep], size[keep], keys[keep], (masked[spread(first[keep], size[keep])] >> U(32)).astype(np.uint32).view(np.int32)
 
 
-def templates(data: np.ndarray, offsets: np.ndarray, lead: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(template, document, line in it) of each line of min_words words at least; the least shingle hash of each document; words of each such line."""
-    w = words(data, offsets)
-    h = word_hashes(data, w)
-    name, doc, at, size = parsed(data, offsets, lead, min_words, w, h)
-    content = np.zeros(len(offsets) - 1, U)
-    grams = mix(windows(h, 3))
-    for d, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
-        if b - a >= 3:
-            content[d] = grams[a : b - 2].min()
-        elif b > a:
-            content[d] = mix(h[a:b]).sum(dtype=U)
-    return name, doc, at, content, size
-
-
-def _emit(lead: int, min_words: int):
+def _emit(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = (batch.column(k).to_numpy() for k in ("k1", "k2"))
             for row, _, data, offsets in text_chunks(batch.column("text")):
-                w = words(data, offsets)
-                name, doc, at, _ = parsed(data, offsets, lead, min_words, w, word_hashes(data, w))
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(k1[row + doc]), pa.array(k2[row + doc]), pa.array(at.astype(np.int32))], ["template", "k1", "k2", "line"])
+                body, doc, at, size, keys, flat = parsed(data, offsets, min_words)
+                ends = np.append(0, np.cumsum(size)).astype(np.int32)
+                columns = [
+                    pa.array(body.view(np.int64)), pa.array(k1[row + doc]), pa.array(k2[row + doc]), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in LINES.split(", ")])
 
     return run
 
 
-def common(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """template of those that min_docs documents have."""
-    seen = lines.select("template", "k1", "k2").distinct().groupBy("template").agg(F.count("*").alias("n_docs"))
-    return seen.where(F.col("n_docs") >= min_docs).select("template")
+def leaves(different: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS) -> DataFrame:
+    """body, leaf and size (different lines of the leaf) of the lines `different` (body, n, head: their first words) whose leaf has min_docs of them."""
+    at = different.select("body", "head", F.xxhash64("n").alias("node"), F.lit(0).alias("wild"))
+    for depth in range(lead):
+        at = at.withColumn("word", F.get("head", F.lit(depth)))
+        known = at.groupBy("node", "word").agg(F.count("*").alias("lines")).where(F.col("lines") >= min_docs).select("node", F.col("word"), F.lit(True).alias("known"))
+        at = at.join(known, ["node", "word"], "left").select("body", "head", F.xxhash64("node", F.when(F.col("known"), F.col("word"))).alias("node"), (F.col("wild") + F.col("known").isNull().cast("int")).alias("wild"))
+        at = checkpointed(at.where(F.col("wild") <= WILD))
+    sizes = at.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") >= min_docs)
+    return at.join(sizes, "node").select("body", F.col("node").alias("leaf"), "size")
 
 
-def recurring(lines: DataFrame, groups: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """template, n_docs and n_contents of the templates that recur; `groups` has the content of each document."""
-    rows = lines.select("template", "k1", "k2").distinct().join(groups, ["k1", "k2"]).groupBy("template", "content").agg(F.count("*").alias("n"))
-    seen = rows.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_contents"))
-    return seen.where(F.col("n_contents") >= min_docs)
+def _generalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held, place, word = (lists(batch.column(k)) for k in ("words", "places", "constants"))
+        if not held:
+            continue
+        size = np.array([len(x) for x in held])
+        first = np.cumsum(size) - size
+        flat = np.concatenate(held)
+        at = np.repeat(first, [len(x) for x in place]) + np.concatenate(place)
+        constant = np.zeros(len(flat), bool)
+        constant[at[flat[at] == np.concatenate(word)]] = True
+        inside = np.arange(len(flat)) - np.repeat(first, size)
+        term = np.where(constant, mix(flat.view(np.uint32).astype(U) + (inside.astype(U) << U(32))), U(0))
+        name = mix(np.add.reduceat(term, first) + mix(batch.column("leaf").to_numpy().view(U)))
+        keep = np.add.reduceat(constant.astype(np.int64), first) >= SIMILAR * size
+        yield pa.RecordBatch.from_arrays([batch.column("body").filter(pa.array(keep)), pa.array(name[keep].view(np.int64))], ["body", "template"])
+
+
+def templates(lines: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS) -> DataFrame:
+    """body and template of the lines (LINES) whose template has min_docs lines at least."""
+    different = checkpointed(lines.groupBy("body").agg(F.count("*").alias("lines"), F.first("n").alias("n"), F.first(F.slice("words", 1, max(lead, 1))).alias("head")))
+    inside = checkpointed(leaves(different, lead, min_docs))
+    held = checkpointed(lines.select("body", "words").join(few(inside), "body").groupBy("body").agg(F.first("leaf").alias("leaf"), F.first("size").alias("size"), F.first("words").alias("words")))
+    counted = held.select("leaf", "size", F.posexplode("words").alias("place", "word")).groupBy("leaf", "place", "word").agg(F.count("*").alias("lines"), F.first("size").alias("size"))
+    constant = counted.where((F.col("lines") >= min_docs) & (F.col("lines") >= SHARE * F.col("size")))
+    # a position has at most 1 / SHARE constants
+    constant = constant.groupBy("leaf").agg(F.collect_list(F.struct("place", "word")).alias("c")).select("leaf", F.col("c.place").alias("places"), F.col("c.word").alias("constants"))
+    general = held.join(constant, "leaf").select("body", "leaf", "words", "places", "constants").mapInArrow(_generalise, "body long, template long")
+    named = checkpointed(different.select("body", "lines").join(checkpointed(general), "body", "left").select("body", "lines", F.coalesce("template", "body").alias("template")))
+    often = named.groupBy("template").agg(F.sum("lines").alias("lines")).where(F.col("lines") >= min_docs)
+    return named.join(often.select("template"), "template").select("body", "template")
+
+
+def recurring(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """template of those among `found` (template, k1, k2, keys) that stand in min_docs different contents."""
+    apart = found.groupBy("template", "k1", "k2").agg(F.min("keys").alias("keys")).select("template", "keys").distinct()
+    band = apart.select("template", F.xxhash64("keys").alias("id"), F.posexplode("keys").alias("band", "key"))
+    crowd = band.groupBy("template", "band", "key").agg(F.count("*").alias("size"))
+    band = checkpointed(band.join(crowd, ["template", "band", "key"]))
+    company = checkpointed(band.groupBy("template", "id").agg(F.max(F.struct("size", "band", "key")).alias("top")))
+    alone = checkpointed(company.groupBy("template").agg(F.count(F.when(F.col("top.size") == 1, 1)).alias("alone")))
+    # where too few documents stand alone, the others are merged: by their largest band, then over the bands they share with documents of a larger one
+    rest = band.join(alone.where(F.col("alone") < min_docs).select("template"), "template").join(company.where("top.size > 1"), ["template", "id"])
+    label = rest.groupBy("template", "band", "key").agg(F.max("top").alias("label"))
+    merged = rest.join(label, ["template", "band", "key"]).groupBy("template", "id").agg(F.max("label").alias("label")).select("template", "label").distinct()
+    groups = merged.groupBy("template").agg(F.count("*").alias("groups"))
+    return alone.join(groups, "template", "left").where(F.col("alone") + F.coalesce("groups", F.lit(0)) >= min_docs).select("template")
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +182,9 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_W
     """doc_id, n_lines, n_dropped, clean_text and rest (the other columns) for each row of `docs`."""
     held = carried(docs)
     keyed = held.select("doc_id", "text", "rest", *row_key())
-    lines = keyed.select("text", "k1", "k2").mapInArrow(_emit(lead, min_words), "template long, k1 long, k2 long, line int")
-    # checkpointed, so that the join can be a broadcast when they are few, and a hot template's rows can be split when they are not
-    found = checkpointed(lines.join(checkpointed(common(lines, min_docs)), "template"))
-    found = found.join(checkpointed(recurring(found, contents(held), min_docs).select("template")), "template")
+    lines = checkpointed(keyed.select("text", "k1", "k2").mapInArrow(_emit(min_words), LINES))
+    found = checkpointed(lines.select("body", "k1", "k2", "line", "keys").join(few(checkpointed(templates(lines, lead, min_docs))), "body"))
+    found = found.select("template", "k1", "k2", "line").join(few(checkpointed(recurring(found, min_docs))), "template")
     cuts = checkpointed(found.groupBy("k1", "k2").agg(F.collect_set("line").alias("cut")))
     kinds = T.StructType([*(T.StructField(k, T.LongType()) for k in ("doc_id", "k1", "k2")), held.schema["rest"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("clean_text", T.StringType())])
     return keyed.join(cuts, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "rest", "text", "cut").mapInArrow(_drop, kinds)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import plain, table
-from .hashing import U, mix
+from .hashing import U, mix, spread
 
 SAMPLES, BATCH = 2, 2_000_000
 #: No Gumbel number of uniform() is larger; places perturbed at first.
@@ -98,11 +98,6 @@ def vocabulary(path: str | None = None) -> Vocabulary:
     return _held[path]
 
 
-def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """begin[i] .. begin[i] + size[i] - 1 for each i, one after another."""
-    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-
-
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words with the spaces before them, as code points: those of the distinct words, their sizes, the number of each word of the texts, the words of each text."""
     points = np.frombuffer("".join(" " + t for t in texts if t).encode("utf-32-le", "surrogatepass"), "<u4").copy()
