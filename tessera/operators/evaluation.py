@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import kinds as K
+from ..lineage import checkpointed
 from . import matching as M
 
 FALLBACK_BUCKETS = ["fallback_only", "mixed_geometry_fallback"]
@@ -20,8 +21,11 @@ def count_by_kind(items: DataFrame) -> DataFrame:
     return M.normalised(items).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def bucket_counts(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows by bucket, a column each, 0 where there are none."""
+def bucket_counts(rows: DataFrame, *keys: str, every: DataFrame | None = None) -> DataFrame:
+    """Rows by bucket, a column each, 0 where there are none; with `every`, a table of keys, a row for each of those too."""
+    if every is not None:
+        found = bucket_counts(rows, *keys)
+        return every.select(*keys).distinct().join(found, list(keys), "full").na.fill(0, list(K.BUCKETS))
     return rows.groupBy(*keys).agg(*(F.count(F.when(F.col("bucket") == b, 1)).alias(b) for b in K.BUCKETS))
 
 
@@ -66,10 +70,10 @@ def _same_kind(items: DataFrame, others: DataFrame) -> DataFrame:
 
 def failures_of_truth(truth: DataFrame, predictions: DataFrame, matches: DataFrame) -> DataFrame:
     """A tag for each ground truth without a match at the last stage. Predictions need an `ord` column: the first that decides a merge does."""
-    gone = M.unmatched(truth, matches, "gt_id")
-    predictions = predictions.where("evaluable")
+    gone = checkpointed(M.unmatched(truth, matches, "gt_id"))
+    predictions = checkpointed(predictions.where("evaluable"))
     best = M.best_contextual(gone, predictions)
-    near = _same_kind(gone, predictions)
+    near = checkpointed(_same_kind(gone, predictions))
     close = near.where("similarity >= 0.1").groupBy("slide_id", "id").agg(F.count("*").alias("n_close"), covered_ratio(F.col("similarity")).alias("covered"), F.max("similarity").alias("closest"))
     around = near.where("box is not null and other_box is not null").where(G.contains(F.col("other_box"), F.col("box")))
     others = M.normalised(truth).select("slide_id", "kind", F.col("id").alias("sibling"), F.col("box").alias("sibling_box"))
@@ -97,10 +101,10 @@ def _wrong_type() -> Column:
 
 def failures_of_predictions(truth: DataFrame, predictions: DataFrame, matches: DataFrame) -> DataFrame:
     """A tag for each prediction without a match at the last stage."""
-    predictions = predictions.where("evaluable")
-    gone = M.unmatched(predictions, matches, "artifact_id")
+    predictions = checkpointed(predictions.where("evaluable"))
+    gone = checkpointed(M.unmatched(predictions, matches, "artifact_id"))
     best = M.best_contextual(gone, truth)
-    near = _same_kind(gone, truth)
+    near = checkpointed(_same_kind(gone, truth))
     close = near.where("similarity >= 0.1").groupBy("slide_id", "id").agg(F.count("*").alias("n_close"), F.max("similarity").alias("closest"), F.min("other_id").alias("only"))
     inside = near.where("box is not null and other_box is not null").where(G.contains(F.col("box"), F.col("other_box"))).groupBy("slide_id", "id").agg(F.count("*").alias("n_inside"))
     hits = _same_kind(truth, predictions).where("similarity >= 0.1").groupBy("slide_id", F.col("id").alias("only")).agg(F.count("*").alias("n_fragments"))
@@ -121,12 +125,12 @@ def _audit_columns(best: DataFrame) -> DataFrame:
 
 def geometry_audit(truth: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Per ground truth the best candidate of each stage, and a status that tells where it was lost."""
-    last = artifacts.where("stage = '07_emit'")
-    best = M.best_candidates(truth, artifacts.where("stage <> '07_emit'")).unionByName(M.best_candidates(truth, last, attachment=True))
-    selected = M.stage_matches(truth, artifacts.where("stage = '05_selection'")).select("slide_id", "gt_id", F.lit(True).alias("is_selected"))
-    emitted = M.stage_matches(truth, last, attachment=True).select("slide_id", "gt_id", F.lit(True).alias("is_emitted"), F.col("bucket").alias("emit_bucket"))
+    pairs = checkpointed(M.same_kind_pairs(truth, artifacts, "07_emit"))
+    best = M.best_of(pairs)
+    hits = M.matches_of(pairs.where("stage in ('05_selection', '07_emit')")).groupBy("slide_id", "gt_id")
+    hits = hits.agg(F.max(F.col("stage") == "05_selection").alias("is_selected"), F.max(F.col("stage") == "07_emit").alias("is_emitted"), F.max(F.when(F.col("stage") == "07_emit", F.col("bucket"))).alias("emit_bucket"))
     boxes = M.normalised(truth).select("slide_id", F.col("id").alias("gt_id"), "kind", F.col("box").alias("gt_box"))
-    rows = boxes.join(_audit_columns(best), ["slide_id", "gt_id"], "left").join(selected, ["slide_id", "gt_id"], "left").join(emitted, ["slide_id", "gt_id"], "left").na.fill(False, ["is_selected", "is_emitted"])
+    rows = boxes.join(_audit_columns(best), ["slide_id", "gt_id"], "left").join(hits, ["slide_id", "gt_id"], "left").na.fill(False, ["is_selected", "is_emitted"])
     passes = lambda s: F.coalesce(F.col(f"{s}.passes"), F.lit(False))
     similarity = lambda s: F.coalesce(F.col(f"{s}.similarity"), F.lit(0.0))
     rescued = (passes("object") & F.coalesce(F.col("object.item.bucket").isin(FALLBACK_BUCKETS), F.lit(False)) & ~passes("raw")) | F.coalesce(F.col("emit_bucket").isin(FALLBACK_BUCKETS), F.lit(False))
@@ -150,7 +154,7 @@ def enclosed_ids(boxes: DataFrame, truth: DataFrame, box: str) -> DataFrame:
 
 def container_audit(truth: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Audit of containers: relation to the raw and the snapped candidate, what snapping did, and a status."""
-    rows = geometry_audit(truth, artifacts).where("kind = 'container'")
+    rows = checkpointed(geometry_audit(truth, artifacts).where("kind = 'container'"))
     boxes = rows.select("slide_id", "gt_id", F.col("raw.item.box").alias("raw_box"), F.col("snapped.item.box").alias("snapped_box"))
     for name in ("raw", "snapped"):
         rows = rows.join(enclosed_ids(boxes, truth, f"{name}_box").withColumnRenamed("enclosed", f"{name}_enclosed"), ["slide_id", "gt_id"], "left")

@@ -6,14 +6,14 @@ as equality keys, so they shuffle by slide; a candidate table is pruned by simil
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kinds as K
 
-#: Groups with more candidates are matched by a Python kernel with hash sets; the fold looks its used ids up in arrays.
-FOLD_LIMIT = 400
 MATCH = "slide_id long, stage string, gt_id string, artifact_id string, similarity double, bucket string, kind string"
 
 
@@ -33,49 +33,31 @@ def candidates(truth: DataFrame, artifacts: DataFrame, attachment: bool = False)
     return pairs.select("slide_id", "stage", "gt_id", "artifact_id", "similarity", "bucket", "kind")
 
 
-def _fold(pairs: Column) -> Column:
-    """Accept pairs in order unless a side is used."""
-    empty = F.struct(F.array().cast("array<string>").alias("g"), F.array().cast("array<string>").alias("a"), F.array().cast("array<int>").alias("at"), F.lit(0).alias("n"))
-
-    def step(state: Column, p: Column) -> Column:
-        free = ~F.array_contains(state["g"], p["gt_id"]) & ~F.array_contains(state["a"], p["artifact_id"])
-        take = lambda old, new: F.when(free, F.concat(old, F.array(new))).otherwise(old)
-        return F.struct(take(state["g"], p["gt_id"]).alias("g"), take(state["a"], p["artifact_id"]).alias("a"), take(state["at"], state["n"]).alias("at"), (state["n"] + 1).alias("n"))
-
-    return F.aggregate(pairs, empty, step)["at"]
-
-
-def _greedy(group: pd.DataFrame) -> pd.DataFrame:
-    used_g, used_a, keep = set(), set(), []
-    for g, a in zip(group.gt_id, group.artifact_id, strict=True):
-        free = g not in used_g and a not in used_a
-        keep.append(free)
-        if free:
-            used_g.add(g)
-            used_a.add(a)
-    return group[keep]
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come group by group, in the order of taking; held are the ids that the current group has used."""
+    group, used_g, used_a = None, set(), set()
+    for batch in batches:
+        keep = []
+        for slide, stage, kind, g, a in zip(*(batch.column(k).to_pylist() for k in ("slide_id", "stage", "kind", "gt_id", "artifact_id")), strict=True):
+            if (slide, stage, kind) != group:
+                group, used_g, used_a = (slide, stage, kind), set(), set()
+            free = g not in used_g and a not in used_a
+            if free:
+                used_g.add(g)
+                used_a.add(a)
+            keep.append(free)
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def greedy_match(pairs: DataFrame) -> DataFrame:
-    """One-to-one matches of each (slide, stage): pairs by similarity (falling), then ids, each taken if both sides are free.
+    """One-to-one matches of each (slide, stage): pairs by similarity (falling), then ids, kind and bucket, each taken if both sides are free.
 
-    Pairs that are the best of both their sides come first whatever else happens, so they are taken by windows; only what is left of a slide,
-    mostly nothing, is folded in order.
+    A pair's sides are of one kind, so kinds never compete and (slide, stage, kind) are groups of their own. A group's pairs stream through one task in
+    order (the sort spills); memory holds the ids used so far, never the pairs.
     """
-    order = [F.desc("similarity"), "gt_id", "artifact_id", "bucket"]
-    side = lambda k: Window.partitionBy("slide_id", "stage", k).orderBy(*order)
-    ranked = pairs.withColumn("rg", F.row_number().over(side("gt_id"))).withColumn("ra", F.row_number().over(side("artifact_id")))
-    mutual = ranked.withColumn("best", (F.col("rg") == 1) & (F.col("ra") == 1))
-    taken = lambda k: F.max("best").over(Window.partitionBy("slide_id", "stage", k))
-    open_ = mutual.withColumn("tg", taken("gt_id")).withColumn("ta", taken("artifact_id")).where("not tg and not ta")
-    row = F.struct((-F.col("similarity")).alias("s"), "gt_id", "artifact_id", "kind", "bucket")
-    grouped = open_.groupBy("slide_id", "stage").agg(F.sort_array(F.collect_list(row)).alias("pairs"))
-    small = grouped.where(F.size("pairs") <= FOLD_LIMIT).select("slide_id", "stage", "pairs", _fold(F.col("pairs")).alias("at"))
     names = [c.split()[0] for c in MATCH.split(", ")]
-    out = lambda df: df.select("slide_id", "stage", "p.gt_id", "p.artifact_id", (-F.col("p.s")).alias("similarity"), "p.bucket", "p.kind")
-    folded = out(small.select("slide_id", "stage", F.explode(F.transform("at", lambda i: F.element_at("pairs", i + 1))).alias("p")))
-    large = out(grouped.where(F.size("pairs") > FOLD_LIMIT).select("slide_id", "stage", F.explode("pairs").alias("p")))
-    return mutual.where("best").select(*names).union(folded.select(*names)).union(large.select(*names).groupBy("slide_id", "stage").applyInPandas(_greedy, MATCH))
+    ordered = pairs.select(*names).repartition("slide_id", "stage", "kind").sortWithinPartitions("slide_id", "stage", "kind", F.desc("similarity"), "gt_id", "artifact_id", "bucket")
+    return ordered.mapInArrow(_greedy, MATCH)
 
 
 def stage_matches(truth: DataFrame, artifacts: DataFrame, attachment: bool = False) -> DataFrame:
@@ -94,24 +76,48 @@ def unmatched(items: DataFrame, matches: DataFrame, key: str) -> DataFrame:
     return items.join(matches.select("slide_id", F.col(key).alias("id")).distinct(), ["slide_id", "id"], "left_anti")
 
 
-def best_candidates(truth: DataFrame, artifacts: DataFrame, attachment: bool = False) -> DataFrame:
-    """Of each ground truth and stage the same-kind artifact with the largest (similarity, score, id); passes tells whether it reaches the threshold."""
-    g = normalised(truth).select("slide_id", "kind", F.col("id").alias("gt_id"), F.col("box").alias("gb"), F.col("attachment_ids").alias("ga"))
+def same_kind_pairs(truth: DataFrame, artifacts: DataFrame, attachment_stage: str | None = None) -> DataFrame:
+    """Every ground truth with every evaluable artifact of its slide and kind: similarity, and whether it passes the stage's threshold (and, at `attachment_stage`, the attachments agree)."""
+    g = normalised(truth).select("slide_id", "kind", F.col("id").alias("gt_id"), F.col("box").alias("gt_box"), F.col("attachment_ids").alias("ga"))
     a = artifacts.where("evaluable").withColumn("raw_kind", F.col("kind")).withColumn("kind", K.eval_kind(F.col("kind")))
     a = a.select("slide_id", "kind", "stage", F.struct("id", "box", "attachment_ids", "score", "bucket", "raw_kind").alias("item"))
-    pairs = g.join(a, ["slide_id", "kind"]).withColumn("similarity", K.stage_similarity(F.col("kind"), F.col("gb"), F.col("kind"), F.col("item.box")))
-    order = Window.partitionBy("slide_id", "gt_id", "stage").orderBy(F.desc("similarity"), F.desc("item.score"), F.desc("item.id"))
-    best = pairs.withColumn("rank", F.row_number().over(order)).where("rank = 1")
-    passes = F.col("similarity") >= K.threshold(F.col("stage"), F.col("kind"))
+    pairs = g.join(a, ["slide_id", "kind"]).withColumn("similarity", K.stage_similarity(F.col("kind"), F.col("gt_box"), F.col("kind"), F.col("item.box")))
+    agree = (F.col("stage") != F.lit(attachment_stage)) | K.attachments_agree(F.col("ga"), F.col("item.attachment_ids")) if attachment_stage else F.lit(True)
+    return pairs.withColumn("passes", (F.col("similarity") >= K.threshold(F.col("stage"), F.col("kind"))) & agree).drop("ga")
+
+
+def matches_of(pairs: DataFrame) -> DataFrame:
+    """Greedy matches among those of same_kind_pairs() that pass, at stages that support the kind."""
+    fit = pairs.where(F.col("passes") & K.supports(F.col("stage"), F.col("kind")))
+    return greedy_match(fit.select("slide_id", "stage", "gt_id", F.col("item.id").alias("artifact_id"), "similarity", F.col("item.bucket").alias("bucket"), "kind"))
+
+
+def best_of(pairs: DataFrame) -> DataFrame:
+    """Of each ground truth and stage the pair with the largest (similarity, score, id); an aggregate, so pairs are combined before they are shuffled."""
+    order = F.struct("similarity", F.col("item.score"), F.col("item.id"))
+    best = pairs.groupBy("slide_id", "stage", "gt_id", "kind").agg(F.max_by(F.struct("gt_box", "item", "similarity", "passes"), order).alias("b"))
+    return best.select("slide_id", "stage", "gt_id", "kind", "b.*")
+
+
+def best_candidates(truth: DataFrame, artifacts: DataFrame, attachment: bool = False, attachment_stage: str | None = None) -> DataFrame:
+    """Of each ground truth and stage the same-kind artifact with the largest (similarity, score, id); passes tells whether it reaches the threshold."""
+    pairs = same_kind_pairs(truth, artifacts, attachment_stage)
     if attachment:
-        passes = passes & K.attachments_agree(F.col("ga"), F.col("item.attachment_ids"))
-    return best.select("slide_id", "stage", "gt_id", "kind", F.col("gb").alias("gt_box"), "item", "similarity", passes.alias("passes"))
+        pairs = pairs.join(truth.select("slide_id", F.col("id").alias("gt_id"), F.col("attachment_ids").alias("ga")), ["slide_id", "gt_id"])
+        pairs = pairs.withColumn("passes", F.col("passes") & K.attachments_agree(F.col("ga"), F.col("item.attachment_ids"))).drop("ga")
+    return best_of(pairs)
+
+
+#: Similarities that differ by less, relatively, tie.
+CLOSE = 1e-9
 
 
 def best_contextual(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Of each left item the most similar right item of its slide, of any kind; ties to the smaller id. Items without any keep a null one at similarity 0."""
+    """Of each left item the most similar right item of its slide, of any kind; of those within CLOSE of the best, the smallest id. Items without any keep a null one at similarity 0."""
     a = normalised(left).select("slide_id", "id", "kind", "box")
     b = normalised(right).select("slide_id", F.struct("id", "kind", "attachment_ids").alias("other"), F.col("box").alias("other_box"))
     pairs = a.join(b, "slide_id", "left").withColumn("similarity", F.coalesce(K.contextual_similarity(F.col("kind"), F.col("box"), F.col("other.kind"), F.col("other_box")), F.lit(0.0)))
-    order = Window.partitionBy("slide_id", "id").orderBy(F.desc("similarity"), "other.id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("slide_id", "id", "other", "similarity")
+    pairs = pairs.select("slide_id", "id", "other", "similarity", F.max("similarity").over(Window.partitionBy("slide_id", "id")).alias("top"))
+    near = pairs.where(F.col("top") - F.col("similarity") <= F.col("top") * F.lit(CLOSE))
+    best = near.groupBy("slide_id", "id").agg(F.min_by(F.struct("other", "similarity"), F.struct("other.id", "similarity")).alias("b"))
+    return best.select("slide_id", "id", "b.other", "b.similarity")

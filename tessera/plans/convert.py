@@ -5,7 +5,6 @@ A family is a pair of functions: detect (components, texts, slides) -> proposals
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -13,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import checkpointed
 from ..functions import geometry as G
 from ..functions import kinds as K
 from ..functions import scores as S
@@ -82,24 +82,24 @@ def convert(pictures: DataFrame, families: list[str] | None = None, preserve: bo
     """All stages of `pictures` (slide_id, height, width, pixels), by name. Stages that several others read are checkpointed, which keeps plans small."""
     slides = pictures.select("slide_id", "width", "height")
     found = pixels.regions(pictures).withColumn("box", G.box("x0", "y0", "x1", "y1")).withColumn("ord", F.col("n")).withColumn("id", F.concat("layer", F.lit(":"), F.col("n").cast("string")))
-    found = materialised(found)  # every later stage reads it
+    found = checkpointed(found)  # every later stage reads it
     layer = lambda name: found.where(F.col("layer") == name)
     texts = layer("text").select("slide_id", "id", "ord", "box", "confidence", "role", F.lit(None).cast("string").alias("text"))
     raster = layer("picture").select("slide_id", "id", "ord", "box", "confidence", F.lit("photo_like").alias("kind"))
-    made = [(materialised(f.detect(layer("component").select("slide_id", "box"), texts, slides)), f) for f in enabled(families).values()]
+    made = [(checkpointed(f.detect(layer("component").select("slide_id", "box"), texts, slides)), f) for f in enabled(families).values()]
     none = f"slide_id long, id string, family string, box {G.BOX}, confidence double"
     proposals = reduce(DataFrame.unionByName, [p for p, _ in made]) if made else slides.sparkSession.createDataFrame([], none)
     parsed = [f.parse(p, layer("node").select("slide_id", "id", "ord", "box"), texts) for p, f in made]
     empty = parse_flow(proposals, layer("node").select("slide_id", "id", "ord", "box").limit(0), texts.limit(0)) if not parsed else None
     nodes, containers = ([reduce(DataFrame.unionByName, side) for side in zip(*parsed, strict=True)] if parsed else empty)
-    nodes, containers = materialised(nodes), materialised(containers)
+    nodes, containers = checkpointed(nodes), checkpointed(containers)
     line = layer("segment").select("slide_id", "id", "ord", G.point(F.col("x0"), F.col("y0")).alias("a"), G.point(F.col("x1") - 1, F.col("y1") - 1).alias("b"))
     e = evidence(line, nodes, containers, layer("hint").select("slide_id", F.col("x0").alias("x"), F.col("y0").alias("y")))
-    e = materialised(e)
+    e = checkpointed(e)
     owner = lambda df, kind: df.select("slide_id", "id", F.lit(kind).alias("owner_kind"), "box", "confidence")
     ports = scene.ports(owner(nodes, "node").unionByName(owner(containers, "container")))
     tied = boxes.numbered(scene.attach(e, ports), "connector_candidate:", ["evidence_id"])
-    tied = materialised(tied)
+    tied = checkpointed(tied)
     loose = scene.unattached(e, ports, tied)
     paths = e.select("slide_id", F.col("id").alias("evidence_id"), F.array("a", "b").alias("path"), "kind")
     connectors = scene.resolve(tied).join(paths, ["slide_id", "evidence_id"])
@@ -110,14 +110,6 @@ def convert(pictures: DataFrame, families: list[str] | None = None, preserve: bo
     return {"texts": texts, "raster": raster, "proposals": proposals, "nodes": nodes, "containers": containers, "evidence": e, "ports": ports, "candidates": tied, "unattached": loose, "connectors": connectors, "text_owners": owners, "residuals": rest, "emitted": emitted}
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """`df` from a checkpoint in the shared folder; a temporary folder only where spark.checkpoint.dir is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
-
-
 def summary(stages: dict[str, DataFrame]) -> DataFrame:
     """Rows of each stage and slide."""
     return scene.stage_summary(**stages)

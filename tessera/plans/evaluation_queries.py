@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import kinds as K
 from ..functions import scores as S
+from ..lineage import checkpointed
 from ..operators import attribution, boxes, matching, spatial
 from ..operators import evaluation as E
 from . import fixtures as X
@@ -31,8 +32,10 @@ EMIT = O.query(O.BASE, O.matched("m", attachment=True, stage="07_emit"), body="{
 SUMS = ", ".join(f"CAST(count(*) FILTER (bucket = '{b}') AS BIGINT) AS {b}" for b in K.BUCKETS)
 
 
-def all_matches(spark, d):
-    return matching.stage_matches(X.truth(spark, d), X.artifacts(spark, d))
+def all_matches(spark, d, *, kept: bool = False):
+    """Matches of all stages; `kept` in a checkpoint, for those who join them more than once."""
+    found = matching.stage_matches(X.truth(spark, d), X.artifacts(spark, d))
+    return checkpointed(found) if kept else found
 
 
 @register(
@@ -66,9 +69,13 @@ def oracle_by_kind(spark, d):
     return rollup.stage_kind_totals(hits, every)
 
 
-@register(MATCHES.format(f"SELECT stage, kind, {SUMS} FROM m GROUP BY 1, 2"))
+@register(
+    MATCHES.format(f"""SELECT s.stage, s.kind, {', '.join(f'CAST(coalesce({b}, 0) AS BIGINT) AS {b}' for b in K.BUCKETS)} FROM (SELECT DISTINCT stage, k1 AS kind FROM gt CROSS JOIN {O.STAGES} WHERE {O.supports('stage', 'k1')}) s
+LEFT JOIN (SELECT stage, kind, {SUMS} FROM m GROUP BY 1, 2) h ON h.stage = s.stage AND h.kind = s.kind""")
+)
 def oracle_by_bucket(spark, d):
-    return E.bucket_counts(all_matches(spark, d), "stage", "kind")
+    kinds = matching.normalised(X.truth(spark, d)).select("kind").distinct().crossJoin(F.broadcast(E.stage_table(spark))).where(K.supports(F.col("stage"), F.col("kind")))
+    return E.bucket_counts(all_matches(spark, d), "stage", "kind", every=kinds)
 
 
 @register(
@@ -82,12 +89,13 @@ def match_left_outer(spark, d):
 @register(O.query(O.BASE, O.best("b"), body="SELECT slide_id, stage, gt_id, kind, artifact_id, similarity, passes FROM b"))
 def best_candidate(spark, d):
     truth, art = X.truth(spark, d), X.artifacts(spark, d)
-    both = matching.best_candidates(truth, art.where("stage <> '07_emit'")).unionByName(matching.best_candidates(truth, art.where("stage = '07_emit'"), attachment=True))
+    both = matching.best_candidates(truth, art, attachment_stage="07_emit")
     return both.select("slide_id", "stage", "gt_id", "kind", F.col("item.id").alias("artifact_id"), "similarity", "passes")
 
 
 CONTEXT = f"""ctx AS MATERIALIZED (SELECT * FROM (SELECT g.slide_id, g.id, g.k1 AS kind, a.id AS other_id, a.k1 AS other_kind, a.atts AS other_atts, CASE WHEN a.id IS NULL THEN 0 ELSE {{sim}} END AS similarity,
-  row_number() OVER (PARTITION BY g.slide_id, g.id ORDER BY CASE WHEN a.id IS NULL THEN 0 ELSE {{sim}} END DESC, a.id) AS rn FROM {{left}} g LEFT JOIN {{right}} a ON g.slide_id = a.slide_id) q WHERE rn = 1)"""
+  max(CASE WHEN a.id IS NULL THEN 0 ELSE {{sim}} END) OVER (PARTITION BY g.slide_id, g.id) AS top FROM {{left}} g LEFT JOIN {{right}} a ON g.slide_id = a.slide_id) q
+  WHERE top - similarity <= top * CAST(1e-9 AS DOUBLE) QUALIFY row_number() OVER (PARTITION BY slide_id, id ORDER BY other_id) = 1)"""
 ANY = f"(CASE WHEN g.k1 = 'connector' OR a.k1 = 'connector' THEN {O.connector('g.', 'a.')} ELSE {O.iou('g.', 'a.')} END)"
 LAST = "last AS MATERIALIZED (SELECT * FROM art WHERE stage = '07_emit' AND evaluable)"
 
@@ -131,7 +139,7 @@ WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.slide_id = g.slide_id AND m.gt_id = g.
 
 @register(GT_FAIL)
 def failure_gt(spark, d):
-    truth, last = X.truth(spark, d), X.artifacts(spark, d, "07_emit")
+    truth, last = checkpointed(X.truth(spark, d)), checkpointed(X.artifacts(spark, d, "07_emit"))
     return E.failures_of_truth(truth, last, matching.stage_matches(truth, last, attachment=True))
 
 
@@ -150,7 +158,7 @@ LEFT JOIN frag ON frag.slide_id = near.slide_id AND frag.id = near.only WHERE NO
 
 @register(PRED_FAIL)
 def failure_pred(spark, d):
-    truth, last = X.truth(spark, d), X.artifacts(spark, d, "07_emit")
+    truth, last = checkpointed(X.truth(spark, d)), checkpointed(X.artifacts(spark, d, "07_emit"))
     return E.failures_of_predictions(truth, last, matching.stage_matches(truth, last, attachment=True))
 
 
@@ -211,7 +219,7 @@ CONTAINER = O.query(
 
 @register(CONTAINER)
 def container_audit(spark, d):
-    rows = E.container_audit(X.truth(spark, d), X.artifacts(spark, d))
+    rows = E.container_audit(checkpointed(X.truth(spark, d)), X.artifacts(spark, d))
     ids = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
     return rows.select("slide_id", "gt_id", F.col("raw.item.id").alias("raw_id"), F.col("snapped.item.id").alias("snapped_id"), "raw_relation", "snapped_relation", "raw_area_ratio", "snapped_area_ratio", ids("raw_enclosed"), ids("snapped_enclosed"), "snap_effect", "snap_delta", "status")
 

@@ -14,14 +14,14 @@ TRUTH = """
 SELECT slide_id, concat('gt-', CAST(n AS STRING)) AS id, n AS ord, p, u, f, kind, x0, y0, x0 + w AS x1, y0 + h AS y1, score, tax, concat('n', CAST(p % 4 AS STRING)) AS att1, concat('n', CAST(u % 5 AS STRING)) AS att2, p % 3 = 0 AS attached
 FROM (SELECT slide_id, n, p, u, f, kind, x0, y0, CASE WHEN kind = 'arrow' AND p % 2 = 0 THEN h0 ELSE w0 END AS w, CASE WHEN kind = 'arrow' AND p % 2 = 0 THEN w0 ELSE h0 END AS h, score, tax
   FROM (SELECT l_orderkey AS slide_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS n,
-      l_partkey AS p, l_suppkey AS u, l_returnflag AS f, CASE WHEN l_linestatus = 'O' THEN 'box' ELSE 'arrow' END AS kind,
+      l_partkey AS p, l_suppkey AS u, l_returnflag AS f, CASE WHEN l_partkey % 11 = 0 THEN 'textbox' WHEN l_linestatus = 'O' THEN 'box' ELSE 'arrow' END AS kind,
       CAST((l_partkey * 37 + l_suppkey * 53) % 1000 AS DOUBLE) AS x0, CAST((l_suppkey * 53 + l_linenumber * 97) % 700 AS DOUBLE) AS y0,
       40 + 4 * l_quantity AS w0, CASE WHEN l_linestatus = 'O' THEN CAST(30 + l_partkey % 90 AS DOUBLE) ELSE CAST(6 AS DOUBLE) END AS h0, 1 - l_discount AS score, l_tax AS tax
     FROM {lineitem}) q0) q
 """
 #: Jittered copies in five stages, with some lost; every ninth kind differs and every seventh attachment.
 ARTIFACTS = f"""
-SELECT slide_id, stage, k, concat('a-', CAST(ord AS STRING)) AS id, ord, CASE WHEN (p + k) % 9 = 0 THEN 'rounded_rect' WHEN kind = 'box' THEN 'container' ELSE 'connector' END AS kind,
+SELECT slide_id, stage, k, concat('a-', CAST(ord AS STRING)) AS id, ord, CASE WHEN (p + k) % 9 = 0 THEN 'rounded_rect' WHEN kind = 'box' THEN 'container' WHEN kind = 'textbox' THEN 'textbox' ELSE 'connector' END AS kind,
   x0 + dx AS x0, y0 + dy AS y0, x1 + dx + ex AS x1, y1 + dy AS y1, score, tax < CAST(0.08 AS DOUBLE) AS evaluable, f,
   CASE WHEN (u + k) % 7 = 0 THEN 'n9' ELSE att1 END AS att1, att2, attached
 FROM (SELECT g.*, st.k, st.stage, CAST((p + 11 * k) % 31 - 15 AS DOUBLE) AS dx, CAST((u + 7 * k) % 17 - 8 AS DOUBLE) AS dy, CASE WHEN (p + k) % 13 = 0 THEN CAST(160 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS ex
@@ -64,8 +64,8 @@ def attached(df: DataFrame) -> DataFrame:
 
 
 def with_sources(df: DataFrame) -> DataFrame:
-    """Source ids by flag: R is geometry, A geometry and fallback, N neither."""
-    ids = F.when(F.col("f") == "R", F.array(F.lit("rect-candidate:x"))).when(F.col("f") == "A", F.array(F.lit("grow_fallback"), F.lit("rect-candidate:x"))).otherwise(F.array(F.lit("vlm:x")))
+    """Source ids by flag: R is geometry, A geometry and fallback, N fallback only in every second row, else neither."""
+    ids = F.when(F.col("f") == "R", F.array(F.lit("rect-candidate:x"))).when(F.col("f") == "A", F.array(F.lit("grow_fallback"), F.lit("rect-candidate:x"))).when((F.col("f") == "N") & (F.col("ord") % 2 == 0), F.array(F.lit("grow_fallback"))).otherwise(F.array(F.lit("vlm:x")))
     return df.withColumn("source_ids", ids)
 
 

@@ -88,7 +88,7 @@ def similarity(kind: str, a: str, b: str) -> str:
     return f"(CASE WHEN {kind} = 'connector' THEN {connector(a, b)} ELSE {iou(a, b)} END)"
 
 
-BUCKET = "(CASE f WHEN 'R' THEN 'geometry_only' WHEN 'A' THEN 'mixed_geometry_fallback' ELSE 'other' END)"
+BUCKET = "(CASE WHEN f = 'R' THEN 'geometry_only' WHEN f = 'A' THEN 'mixed_geometry_fallback' WHEN f = 'N' AND ord % 2 = 0 THEN 'fallback_only' ELSE 'other' END)"
 STAGES = "(VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(K.STAGES)) + ") AS st(stage_ord, stage)"
 BASE = f"""
 gt AS MATERIALIZED (SELECT *, {eval_kind('kind')} AS k1, CASE WHEN attached THEN list_sort(list_distinct([att1, att2])) ELSE [] END AS atts FROM ({X.duck(X.TRUTH)}) t),

@@ -48,10 +48,14 @@ def test_greedy_order_and_large_groups(spark):
             used_a.add(r[3])
             want.add((r[2], r[3]))
     df = spark.createDataFrame(rows, matching.MATCH)
-    for limit in (10_000, 1):
-        matching.FOLD_LIMIT, before = limit, matching.FOLD_LIMIT
-        assert {(r.gt_id, r.artifact_id) for r in matching.greedy_match(df).collect()} == want
-        matching.FOLD_LIMIT = before
+    assert {(r.gt_id, r.artifact_id) for r in matching.greedy_match(df).collect()} == want
+
+
+def test_contextual_ties_within_rounding(spark):
+    left = spark.createDataFrame([item("", "g", "box", B(0, 0, 10, 10))], ITEM)
+    wide = [item("", k, "box", B(0, 0, 10, 5.0 + d)) for k, d in (("z", 2e-9), ("a", 0.0), ("m", 1e-9), ("b", -1.0))]
+    found = matching.best_contextual(left, spark.createDataFrame(wide, ITEM)).collect()
+    assert [r.other.id for r in found] == ["a"]
 
 
 def test_attachments_and_empty_stages(spark):
