@@ -8,8 +8,8 @@ All counts are of different lines, so a line that is copied often makes no word
 
 A template recurs if it stands in MIN_DOCS different contents. What tells contents apart is the document without the template's line, which the line therefore
 cannot supply: of every line, BANDS bands of ROWS minimum hashes over the five-word shingles of all other lines of its document. Documents without a band in common
-are different contents; those that share bands are merged by their most frequent band, so a group of copies, exact or near, is one content however
-large it is, and its lines are left to the near-duplicate stage. All lines of recurring templates are dropped, blank and shorter lines (under MIN_WORDS words) never.
+are different contents; one that shares bands is merged with the least document that it shares one with, so a group of copies, exact or near, is one content or a few
+however large it is, and its lines are left to the near-duplicate stage. All lines of recurring templates are dropped, blank and shorter lines (under MIN_WORDS words) never.
 
 The tree is a few tables: words per node, words per leaf and position, both pre-aggregated; no node's lines meet in one task. Templates of fewer than MIN_DOCS lines are left
 out before contents are counted, which loses none.
@@ -148,18 +148,16 @@ def templates(lines: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS) -> D
 
 def recurring(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """template of those among `found` (template, k1, k2, keys) that stand in min_docs different contents."""
-    apart = found.groupBy("template", "k1", "k2").agg(F.min("keys").alias("keys")).select("template", "keys").distinct()
-    band = apart.select("template", F.xxhash64("keys").alias("id"), F.posexplode("keys").alias("band", "key"))
-    crowd = band.groupBy("template", "band", "key").agg(F.count("*").alias("size"))
-    band = checkpointed(band.join(crowd, ["template", "band", "key"]))
-    company = checkpointed(band.groupBy("template", "id").agg(F.max(F.struct("size", "band", "key")).alias("top")))
-    alone = checkpointed(company.groupBy("template").agg(F.count(F.when(F.col("top.size") == 1, 1)).alias("alone")))
-    # where too few documents stand alone, the others are merged: by their largest band, then over the bands they share with documents of a larger one
-    rest = band.join(alone.where(F.col("alone") < min_docs).select("template"), "template").join(company.where("top.size > 1"), ["template", "id"])
-    label = rest.groupBy("template", "band", "key").agg(F.max("top").alias("label"))
-    merged = rest.join(label, ["template", "band", "key"]).groupBy("template", "id").agg(F.max("label").alias("label")).select("template", "label").distinct()
-    groups = merged.groupBy("template").agg(F.count("*").alias("groups"))
-    return alone.join(groups, "template", "left").where(F.col("alone") + F.coalesce("groups", F.lit(0)) >= min_docs).select("template")
+    apart = found.groupBy("template", "k1", "k2").agg(F.min("keys").alias("keys")).select("template", F.xxhash64("keys").alias("id"), "keys").dropDuplicates(["template", "id"])
+    apart = checkpointed(apart)
+    band = apart.select("template", "id", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("template", "band", "key").alias("key"), "template", "id")
+    crowd = band.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1").select("key", "least")
+    # a document that shares bands is one with the least document it shares one with
+    merged = band.join(crowd, "key").groupBy("template", "id").agg(F.min("least").alias("least"))
+    merged = merged.groupBy("template", "least").agg(F.count("*").alias("members")).groupBy("template").agg(F.sum("members").alias("members"), F.count("*").alias("groups"))
+    every = apart.groupBy("template").agg(F.count("*").alias("documents")).where(F.col("documents") >= min_docs)
+    none = F.lit(0).cast("long")
+    return every.join(merged, "template", "left").where(F.col("documents") - F.coalesce("members", none) + F.coalesce("groups", none) >= min_docs).select("template")
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
