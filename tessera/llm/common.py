@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import checkpointed as checkpointed  # shared with the other operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -14,22 +16,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, spark.checkpoint.dir; its lineage ends there.
-
-    Without that setting the session must have been given a folder (setCheckpointDir), as tests do: a folder of one machine would not survive on a cluster.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = f"{context.getConf().get('spark.local.dir', '/tmp')}/checkpoints-{context.applicationId}"  # all executors are threads of this process
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 #: Rows of a few numbers each that may be sent to every executor: some 20 MB.
 FEW = 500_000
 
