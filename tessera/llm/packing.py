@@ -6,19 +6,23 @@ Then bins that are not full are exchanged: in each further round they meet in fe
 decreasing, and the new packing is taken if it needs fewer bins. Rounds end when the bound over all pieces is met, or two rounds
 in fewest partitions gain not one bin. Bins move as whole rows of pieces, so a round's work is bounded by the bins still open.
 
-Token ids come from a public vocabulary. A document's ids are those of its text (strings of special tokens are ordinary text), then the end id 0.
+Token ids are those that the public tokenizer gives for the text (its added tokens, such as <|endoftext|>, are matched in texts as it does), then the end id 0.
+They are made from the same vocabulary's ranks, which is faster; tests compare them with the tokenizer itself.
 
-Defined cases: a null text is empty and becomes the piece [0]; repeated rows are packed each; an empty table gives an empty result.
+Defined cases: a null text is empty and becomes the piece [0]; repeated rows are packed each; a null doc_id stays null; other columns, whatever their names, are ignored; a text of
+any length is cut into pieces; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count as count_from
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +46,13 @@ class Encoder:
 
     KEPT = 400_000
 
-    def __init__(self, vocabulary: str | None = None) -> None:
+    def __init__(self, vocabulary: str | None = None, tokenizer: str | None = None) -> None:
         import public_tokenizers
         import tiktoken
 
+        added = {t["content"]: t["id"] for t in json.loads(Path(tokenizer or public_tokenizers.path("byte_bpe_50k.json")).read_text())["added_tokens"]}
+        self.added = {k: np.array([i], "<u4").tobytes() for k, i in added.items()}
+        self.split = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or "(?!)")
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
         self.coder = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         whole = self.coder.encode_ordinary
@@ -62,6 +69,13 @@ class Encoder:
         self.known = Known()
 
     def ids(self, text: str) -> bytes:
+        found, at = [], 0
+        for m in self.split.finditer(text):
+            found += [self.plain(text[at : m.start()]), self.added[m[0]]]
+            at = m.end()
+        return b"".join((*found, self.plain(text[at:]))) if found else self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         if _ODD.search(text):
             return np.array(self.coder.encode_ordinary(text), "<u4").tobytes()
         return b"".join(map(self.known.__getitem__, _SPLIT.findall(text)))
