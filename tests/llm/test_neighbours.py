@@ -42,6 +42,32 @@ def test_many_blocks_ties_and_copies(spark):
     assert [r.vec_id for r in sorted((r for r in found if r.query_id == 350), key=lambda r: r.rank)] == [300, 301, 302, 303, 304]
 
 
+def test_many_cells_of_wide_vectors(spark, capsys):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 64))
+    x = np.concatenate((rng.normal(size=(1500, 64)), centres[rng.integers(0, 60, 2500)] + 0.3 * rng.normal(size=(2500, 64))))
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = N.nearest(df, df.where("vec_id % 50 = 0"), block=250, query_block=20, leaf=32).collect()
+    check(found, exact(rows), 0.9)
+    # the share of leaves that one block verifies: spread-out vectors need nearly all, clustered ones few
+    for name, part in (("normal", x[:1500]), ("clustered", x[1500:])):
+        seen = []
+        N.search(np.arange(len(part)), part, np.arange(40), part[:40], 5, N.DIMENSIONS, 32, N.CONFIDENCE, seen=seen)
+        verified, there = seen[0]
+        with capsys.disabled():
+            print(f"leaves verified of {name} vectors: {verified / there:.3f}")
+        assert 0 < verified < there or name == "normal"
+
+
+def test_cells_hold_every_point():
+    points = np.random.default_rng(1).normal(size=(5000, 8))
+    cells = N.Cells.fit(points[:400], 4)
+    count = np.bincount(cells.of(points), minlength=16)
+    assert count.sum() == 5000 and len(count) == 16 and count.min() > 100
+    assert (N.Cells.fit(np.zeros((50, 8)), 3).of(np.zeros((9, 8))) == 7).all()
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [0.0, 0.0]), (100, None), (150, [nan, 1.0]), (200, [inf, 1.0]), (250, [None, 1.0]), (300, []), (1, [2.0, 0.1]), (2, [1.0, 1.0, 1.0]), (None, [1.0, 0.0]), (350, [0.5, 0.5])]
