@@ -87,28 +87,3 @@ def dominant_stage(oracle: DataFrame, attrition: DataFrame | None, *keys: str) -
     most = attrition.groupBy(*keys).agg(F.max_by("stage", F.struct("n", -F.col("ord"))).alias("by_loss"))
     both = found.join(most, list(keys), "full_outer") if keys else found.crossJoin(most)
     return both.select(*keys, F.coalesce("by_loss", "by_drop", "by_ratio").alias("dominant_loss_stage"))
-
-
-def nested(rows: DataFrame, keys: list[str], inner: str, value: str, name: str) -> DataFrame:
-    """Long rows folded to one map column by `keys`."""
-    return rows.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(inner, value)))).alias(name))
-
-
-def slide_rows(slides: DataFrame, manifests: DataFrame, stages: DataFrame, lost: DataFrame, status: DataFrame) -> DataFrame:
-    """One row a slide with its accounting and nested maps; slides without files keep zeros and empty maps."""
-    ratios = stages.withColumn("recoverable_ratio", ratio(F.col("recoverable_count").cast("double"), F.col("ground_truth_count")))
-    oracle = nested(ratios.withColumn("v", F.struct("recoverable_count", "ground_truth_count", "recoverable_ratio")), ["slide"], "stage", "v", "oracle_stages")
-    counts = lambda df, tag, name: nested(df.groupBy("slide", tag).agg(F.count("*").alias("n")), ["slide"], tag, "n", name)
-    dominant = dominant_stage(ratios, lost.groupBy("slide", F.col("lost_at").alias("stage")).agg(F.count("*").alias("n"), F.min("ord").alias("ord")), "slide")
-    out = slides.join(manifests, "slide", "left").join(oracle, "slide", "left").join(counts(lost, "lost_at", "attrition_counts"), "slide", "left")
-    return out.join(counts(status, "status", "status_counts"), "slide", "left").join(dominant, "slide", "left")
-
-
-def summary_line(summary: DataFrame) -> DataFrame:
-    """The one-line text of a summary row."""
-    shown = (
-        ("slides", "slide_count"), ("gt_backed", "gt_backed_slide_count"), ("gt_unavailable", "gt_unavailable_slide_count"), ("gt_notice", "notice"), ("dominant_loss_stage", "dominant_loss_stage"),
-        ("matched_container", "matched_container"), ("matched_connector", "matched_connector"), ("native", "native_object_count"), ("raster", "raster_region_count"),
-    )
-    parts = [F.concat(F.lit(f"{name}="), F.coalesce(F.col(c).cast("string"), F.lit("None"))) for name, c in shown]
-    return summary.select(F.concat_ws(" ", *parts, F.format_string("raster_area_mean=%.3f", "raster_area_ratio_mean")).alias("line"))

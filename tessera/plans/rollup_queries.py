@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kinds as K
 from ..sources import artifacts as A
+from . import benchmark as B
 from . import fixtures as X
 from . import rollup as R
 
@@ -126,3 +127,80 @@ def parse_items(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet")
     item = events.select("event_id", F.expr(OBJECT.replace("{{", "{").replace("}}", "}")).alias("json")).select("event_id", A.parse_item(F.col("json")).alias("i"))
     return item.select("event_id", "i.kind", "i.box.x0", "i.score", "i.bucket", "i.evaluable", F.size("i.attachment_ids").alias("n_attached"))
+
+
+def report_facts(spark, d):
+    """Facts made from the counters: every table of the report, from all rows."""
+    i = rows(spark, d)
+    k = lambda m, p="k": F.concat(F.lit(p), (F.col("ord") % m).cast("string"))
+    bucket = F.element_at(F.array(*map(F.lit, K.BUCKETS)), (F.col("n") % 4 + 1).cast("int")).alias("bucket")
+    slides = i.groupBy("slide").agg(F.max("grow").alias("gt_available"), F.min("grow").alias("grow"), F.min("motifs").alias("motifs"), *(F.sum(F.col("n") % (j + 2)).alias(c) for j, c in enumerate(B.COUNTERS)), *((F.sum(F.col("n") % 8) / 64).alias(c) for c in B.RATIOS))
+    counts = [F.col("n").alias("recoverable_count"), (F.col("n") + F.col("ord") % 7).alias("ground_truth_count")]
+    sides = F.when(F.col("ord") % 2 == 0, "ground_truth").otherwise("predictions").alias("side")
+    pairs = F.array(*(F.struct(F.lit(s).alias("stage"), F.lit(f).alias("field")) for s, f in [*B.BUCKET_SECTIONS, *B.BUCKET_FIELDS]))
+    attribution = i.select("slide", F.element_at(pairs, (F.col("ord") % 8 + 1).cast("int")).alias("p"), F.when(F.col("ord") % 8 >= 3, k(3)).alias("kind"), bucket, "n").select("slide", "p.*", "kind", "bucket", "n")
+    return B.facts(
+        slides, i.select("slide", "stage", *counts), i.select("slide", "stage", k(3).alias("kind"), *counts), i.select("slide", "stage", bucket, "n"), i.where("ord % 3 = 0").select("slide", F.col("stage").alias("lost_at"), "ord"),
+        i.select("slide", sides, F.when(F.col("n") % 4 != 0, F.col("stage")).alias("kind"), F.when(F.col("n") % 6 != 0, k(6, "t")).alias("tag")), i.select("slide", k(3).alias("kind"), F.when(F.col("n") % 6 != 0, k(5, "s")).alias("status")),
+        i.select("slide", k(4, "e").alias("effect"), "n"), i.select("slide", k(2, "f").alias("family"), F.element_at(F.array(*map(F.lit, B.MOTIF_COUNTERS)), (F.col("ord") % 5 + 1).cast("int")).alias("counter"), "n"), attribution,
+    )
+
+
+def _k(m: int, p: str = "k") -> str:
+    return f"concat('{p}', CAST(ord % {m} AS STRING))"
+
+
+_BUCKET = "CASE n % 4 " + " ".join(f"WHEN {j} THEN '{b}'" for j, b in enumerate(K.BUCKETS)) + " END"
+_PLACES = [*B.BUCKET_SECTIONS, *B.BUCKET_FIELDS]
+_FACTS = f"""i AS MATERIALIZED (SELECT * FROM ({I}) q), sl AS MATERIALIZED (SELECT slide, coalesce(bool_or(grow), FALSE) AS backed, coalesce(bool_and(grow), TRUE) AS grow, coalesce(bool_and(motifs), TRUE) AS motifs,
+  {', '.join(f'sum(n % {j + 2}) AS {c}' for j, c in enumerate(B.COUNTERS))}, sum(n % 8) / 64.0 AS ratio FROM i GROUP BY 1),
+f AS MATERIALIZED (
+  SELECT slide, 'slides' AS section, CASE WHEN backed THEN 'gt_backed_slide_count' ELSE 'gt_unavailable_slide_count' END AS a, NULL AS b, NULL AS c, NULL AS d, 1.0 AS n, NULL AS ord FROM sl
+  UNION ALL SELECT slide, 'ablation_counts', CASE WHEN grow THEN 'grow' ELSE 'no-grow' END || '+' || CASE WHEN motifs THEN 'motifs' ELSE 'no-motifs' END, NULL, NULL, NULL, 1, NULL FROM sl
+  {' '.join(f"UNION ALL SELECT slide, 'counts', '{c}', NULL, NULL, NULL, {c}, NULL FROM sl" for c in B.COUNTERS)}
+  {' '.join(f"UNION ALL SELECT slide, 'area', '{c}', NULL, NULL, NULL, ratio, NULL FROM sl" for c in B.RATIOS)}
+  UNION ALL SELECT slide, 'stage_oracle', stage, 'recoverable_count', NULL, NULL, n, NULL FROM i UNION ALL SELECT slide, 'stage_oracle', stage, 'ground_truth_count', NULL, NULL, n + ord % 7, NULL FROM i
+  UNION ALL SELECT slide, 'stage_oracle_by_kind', stage, {_k(3)}, 'recoverable_count', NULL, n, NULL FROM i UNION ALL SELECT slide, 'stage_oracle_by_kind', stage, {_k(3)}, 'ground_truth_count', NULL, n + ord % 7, NULL FROM i
+  UNION ALL SELECT slide, 'stage_oracle_by_source_bucket', stage, {_BUCKET}, NULL, NULL, n, NULL FROM i
+  UNION ALL SELECT slide, 'stage_attrition', stage, NULL, NULL, NULL, 1, ord FROM i WHERE ord % 3 = 0
+  UNION ALL SELECT slide, 'failure_taxonomy', CASE WHEN ord % 2 = 0 THEN 'ground_truth' ELSE 'predictions' END, CASE WHEN n % 6 = 0 THEN 'unknown' ELSE {_k(6, 't')} END, NULL, NULL, 1, NULL FROM i
+  UNION ALL SELECT slide, 'failure_taxonomy_by_kind', CASE WHEN ord % 2 = 0 THEN 'ground_truth' ELSE 'predictions' END, CASE WHEN n % 4 = 0 THEN 'unknown' ELSE stage END, CASE WHEN n % 6 = 0 THEN 'unknown' ELSE {_k(6, 't')} END, NULL, 1, NULL FROM i
+  UNION ALL SELECT slide, 'geometry_audit_status_counts', CASE WHEN n % 6 = 0 THEN 'unknown' ELSE {_k(5, 's')} END, NULL, NULL, NULL, 1, NULL FROM i
+  UNION ALL SELECT slide, 'geometry_audit_status_counts_by_kind', {_k(3)}, CASE WHEN n % 6 = 0 THEN 'unknown' ELSE {_k(5, 's')} END, NULL, NULL, 1, NULL FROM i
+  UNION ALL SELECT slide, 'container_snap_effect_counts', {_k(4, 'e')}, NULL, NULL, NULL, n, NULL FROM i
+  {' '.join(f"UNION ALL SELECT slide, 'motif_accounting', {_k(2, 'f')}, '{c}', NULL, NULL, CASE WHEN ord % 5 = {j} THEN n ELSE 0 END, NULL FROM i" for j, c in enumerate(B.MOTIF_COUNTERS))}
+  {' '.join(f"UNION ALL SELECT slide, '{name}', {_BUCKET}, NULL, NULL, NULL, n, NULL FROM i WHERE ord % 8 = {j}" for j, name in enumerate(B.BUCKET_SECTIONS.values()))}
+  {' '.join(f"UNION ALL SELECT slide, 'source_bucket_counts_by_kind', '{s}', '{x}', {_k(3)}, {_BUCKET}, n, NULL FROM i WHERE ord % 8 = {j + 3}" for j, (s, x) in enumerate(B.BUCKET_FIELDS))}
+)"""
+
+
+@register(
+    f"""WITH {_FACTS}, t AS (SELECT section, a, b, c, d, CAST(sum(n) AS DOUBLE) AS n FROM f GROUP BY ALL),
+r AS (SELECT a AS stage, max(n) FILTER (b = 'recoverable_count') / max(n) FILTER (b = 'ground_truth_count') AS r FROM t WHERE section = 'stage_oracle' GROUP BY 1),
+one AS (SELECT count(*) FILTER (backed) AS backed, count(*) AS every, sum(ratio) AS ratio FROM sl)
+SELECT section, a, b, c, d, n, CAST(NULL AS VARCHAR) AS text FROM t WHERE section NOT IN ('slides', 'area')
+UNION ALL SELECT 'stage_oracle', stage, 'recoverable_ratio', NULL, NULL, r, NULL FROM r
+UNION ALL SELECT section, a, b, 'recoverable_ratio', NULL, CASE WHEN max(n) FILTER (c = 'ground_truth_count') = 0 THEN 0 ELSE max(n) FILTER (c = 'recoverable_count') / max(n) FILTER (c = 'ground_truth_count') END, NULL FROM t WHERE section = 'stage_oracle_by_kind' GROUP BY 1, 2, 3
+UNION ALL SELECT 'gt_backed_slide_count', NULL, NULL, NULL, NULL, backed, NULL FROM one UNION ALL SELECT 'gt_unavailable_slide_count', NULL, NULL, NULL, NULL, every - backed, NULL FROM one UNION ALL SELECT 'slide_count', NULL, NULL, NULL, NULL, every, NULL FROM one
+UNION ALL SELECT 'gt_coverage_notice', NULL, NULL, NULL, NULL, NULL, CASE WHEN backed <= 0 THEN 'no_gt_backed_slides' WHEN backed = 1 THEN 'single_gt_backed_slide_only' WHEN backed < 3 THEN 'low_gt_backed_coverage' END FROM one
+{' '.join(f"UNION ALL SELECT '{c}_mean', NULL, NULL, NULL, NULL, CAST(ratio AS DOUBLE) / every, NULL FROM one" for c in B.RATIOS)}
+UNION ALL SELECT 'dominant_loss_stage', NULL, NULL, NULL, NULL, NULL, (SELECT a FROM (SELECT a, count(*) AS n, min(concat(slide, '/', lpad(CAST(ord AS VARCHAR), 18, '0'))) AS first FROM f WHERE section = 'stage_attrition' GROUP BY 1) q ORDER BY n DESC, first LIMIT 1)"""
+)
+def benchmark_summary(spark, d):
+    return B.summary_rows(report_facts(spark, d))
+
+
+@register(
+    f"""WITH {_FACTS}, lo AS (SELECT slide, a FROM (SELECT slide, a, row_number() OVER (PARTITION BY slide ORDER BY count(*) DESC, min(ord)) AS k FROM f WHERE section = 'stage_attrition' GROUP BY 1, 2) q WHERE k = 1),
+s AS (SELECT slide, a AS stage, CAST(sum(n) FILTER (b = 'recoverable_count') AS DOUBLE) / CAST(sum(n) FILTER (b = 'ground_truth_count') AS DOUBLE) AS r, sum(n) FILTER (b = 'ground_truth_count') AS g FROM f WHERE section = 'stage_oracle' GROUP BY 1, 2),
+z AS (SELECT slide, stage, CASE WHEN g = 0 THEN 0 ELSE r END AS r FROM s), p AS (SELECT *, lag(r) OVER (PARTITION BY slide ORDER BY stage) - r AS drop_ FROM z),
+dr AS (SELECT slide, stage FROM (SELECT *, row_number() OVER (PARTITION BY slide ORDER BY drop_ DESC, stage) AS k FROM p WHERE drop_ > 0) q WHERE k = 1), mi AS (SELECT slide, stage FROM (SELECT *, row_number() OVER (PARTITION BY slide ORDER BY r, stage) AS k FROM z) q WHERE k = 1)
+SELECT sl.slide, backed AS gt_available, coalesce(lo.a, dr.stage, mi.stage) AS dominant_loss_stage, CAST(native_object_count AS BIGINT) AS native_object_count, CAST((SELECT sum(n) FROM f WHERE f.slide = sl.slide AND section = 'motif_accounting' AND a = 'f0' AND b = 'proposed') AS DOUBLE) AS proposed,
+  CAST((SELECT sum(n) FROM f WHERE f.slide = sl.slide AND section = 'container_snap_effect_counts' AND a = 'e1') AS DOUBLE) AS snapped
+FROM sl LEFT JOIN lo ON lo.slide = sl.slide LEFT JOIN dr ON dr.slide = sl.slide LEFT JOIN mi ON mi.slide = sl.slide"""
+)
+def benchmark_slides(spark, d):
+    found = report_facts(spark, d)
+    reports = B.slide_reports(found, rows(spark, d).select("slide").distinct())
+    read = lambda path, kind: F.get_json_object("report", f"$.{path}").cast(kind)
+    return reports.select("slide", read("gt_available", "boolean").alias("gt_available"), "dominant_loss_stage", read("native_object_count", "long").alias("native_object_count"), read("motif_accounting.f0.proposed", "double").alias("proposed"), read("container_snap_effect_counts.e1", "double").alias("snapped"))

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.plans import benchmark as B
 from tessera.plans import rollup as R
 from tessera.sources import artifacts as A
 
@@ -57,10 +58,6 @@ def test_rollup(spark, tree):
     assert {r.stage: r.recoverable_ratio for r in R.stage_totals(stages).collect()} == {"01_geometry_raw": 0.75, "07_emit": 0.75}
     kinds = R.stage_kind_totals(A.stage_kind_rows(oracle, "recoverable_by_kind"), A.stage_kind_rows(oracle, "ground_truth_count_by_kind"))
     assert {(r.stage, r.kind): (r.recoverable_count, r.ground_truth_count) for r in kinds.collect()}["07_emit", "connector"] == (1, 0)
-    lost = A.lost_rows(A.files(spark, tree + DIAGNOSTICS, "attrition_by_stage.json", A.ATTRITION))
-    status = A.status_rows(A.files(spark, tree + DIAGNOSTICS, "container_geometry_audit.json", A.AUDIT))
-    rows = {r.slide: r for r in R.slide_rows(slides, manifest, stages, lost, status).collect()}
-    assert rows["slide_a"].dominant_loss_stage == "01_geometry_raw" and rows["slide_a"].attrition_counts == {"01_geometry_raw": 1, "05_selection": 1} and rows["slide_b"].attrition_counts is None
     tags = {(r.kind, r.tag, r.overall): r.n for r in R.tag_totals(A.tagged_rows(A.files(spark, tree + DIAGNOSTICS, "failure_taxonomy.json", A.FAILURES), "ground_truth")).collect()}
     assert tags == {(None, "missing", 1): 2, ("container", "missing", 0): 1, ("unknown", "missing", 0): 1}
     whole = R.means(slides.join(manifest, "slide", "left").na.fill(0), ["native_object_count"], ["native_area_ratio"]).first()
@@ -71,6 +68,32 @@ def test_rollup(spark, tree):
     assert [r.a for r in manifest.select(R.ablation(F.col("grow"), F.col("motifs")).alias("a")).collect()] == ["grow+motifs"]
 
 
+def test_report(spark, tree, tmp_path):
+    # the latest iteration in string order is iter_9, which has the diagnostics
+    whole = B.write_summary(spark, tree, str(tmp_path))
+    assert json.loads(spark.read.text(f"{tmp_path}/benchmark_stage_summary").first().value) == whole
+    assert {
+        "status", "benchmark_root", "slide_count", "gt_backed_slide_count", "gt_unavailable_slide_count", "gt_coverage_notice", "stage_oracle", "stage_oracle_by_kind", "stage_oracle_by_source_bucket", "stage_attrition",
+        "failure_taxonomy", "failure_taxonomy_by_kind", "geometry_audit_status_counts", "geometry_audit_status_counts_by_kind", "container_snap_effect_counts", "native_object_count", "raster_region_count", "dropped_hypothesis_count",
+        "grow_fallback_hypothesis_count", "native_area_ratio_mean", "raster_area_ratio_mean", "raster_native_overlap_area_ratio_mean", "selection_count_by_source_bucket", "native_emit_count_by_source_bucket",
+        "final_matched_gt_by_source_bucket", "source_bucket_counts_by_kind", "final_matched_gt_by_kind", "ablation_counts", "motif_accounting", "dominant_loss_stage",
+    } == set(whole)
+    assert whole["gt_coverage_notice"] == "single_gt_backed_slide_only" and (whole["slide_count"], whole["native_object_count"], whole["native_area_ratio_mean"]) == (2, 4, 0.25)
+    assert whole["stage_oracle_by_kind"]["07_emit"] == whole["final_matched_gt_by_kind"] == {"container": {"recoverable_count": 2, "ground_truth_count": 3, "recoverable_ratio": 2 / 3}, "connector": {"recoverable_count": 1, "ground_truth_count": 0, "recoverable_ratio": 0.0}}
+    assert whole["motif_accounting"] == {"pair": {"proposed": 3, "accepted": 1, "rejected": 0, "absorbed_members": 0, "suppressed_members": 0}}
+    assert whole["failure_taxonomy"] == {"ground_truth": {"missing": 2}, "predictions": {"unknown": 1}} and whole["final_matched_gt_by_source_bucket"] == {"geometry_only": 2, "other": 1}
+    assert whole["source_bucket_counts_by_kind"] == {"07_emit": {"matched_gt_by_source_bucket_by_kind": {"container": {"geometry_only": 2}}}} and whole["ablation_counts"] == {"grow+motifs": 2}
+    assert whole["dominant_loss_stage"] == "01_geometry_raw" and whole["container_snap_effect_counts"] == {"unchanged_by_snap": 1}
+    assert B.summary_line(whole) == "slides=2 gt_backed=1 gt_unavailable=1 gt_notice=single_gt_backed_slide_only dominant_loss_stage=01_geometry_raw matched_container=2 matched_connector=1 native=4 raster=1 raster_area_mean=0.050"
+    rows = {r.slide: r for r in spark.read.json(f"{tmp_path}/benchmark_stage_rollup").collect()}
+    a, b = (json.loads(rows[k].report) for k in ("slide_a", "slide_b"))
+    assert rows["slide_a"].dominant_loss_stage == "01_geometry_raw" and rows["slide_a"].ablation_flags.grow_fallback_enabled and rows["slide_a"].iteration == "iter_9"
+    assert a["attrition_counts"] == {"01_geometry_raw": 1, "05_selection": 1} and a["gt_available"] and a["motif_accounting"]["pair"]["accepted"] == 1 and a["oracle_stages"]["07_emit"]["recoverable_ratio"] == 0.75
+    assert not b["gt_available"] and b["attrition_counts"] == {} and b["native_object_count"] == 0 and rows["slide_b"].dominant_loss_stage is None
+    empty = B.summary(B.tree_facts(spark, tree)[0].limit(0))
+    assert (empty["slide_count"], empty["gt_coverage_notice"], empty["native_area_ratio_mean"], empty["dominant_loss_stage"]) == (0, "no_gt_backed_slides", 0.0, None)
+
+
 def test_dominant_stage_without_attrition(spark):
     oracle = spark.createDataFrame([("s", "01", 0.9), ("s", "02", 0.5), ("s", "03", 0.1), ("t", "01", 0.2), ("t", "02", 0.2)], "slide string, stage string, recoverable_ratio double")
     assert {r.slide: r.dominant_loss_stage for r in R.dominant_stage(oracle, None, "slide").collect()} == {"s": "02", "t": "01"}
