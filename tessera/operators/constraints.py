@@ -94,6 +94,31 @@ def scene(nodes: DataFrame, containers: DataFrame, texts: DataFrame, ports: Data
     return reduce(DataFrame.union, parts)
 
 
+def proposals(rows: DataFrame, instances: DataFrame, styles: DataFrame, targets: DataFrame) -> DataFrame:
+    """Family proposals have a focus and provenance; instances name a known proposal and have provenance; style tokens target known ids."""
+    focus = failing(rows, "proposal.focus", F.col("focus").isNotNull())
+    return reduce(DataFrame.union, [focus, failing(rows, "proposal.provenance", some_items("provenance")), foreign_key(instances, "proposal_id", rows, "instance.proposal"), failing(instances, "instance.provenance", some_items("provenance")), foreign_keys(styles, "target_ids", targets, "style.target")])
+
+
+def connectors(rows: DataFrame, ports: DataFrame, nodes: DataFrame, containers: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Solved connectors: path, source, provenance, known evidence; of each end a known owner of its kind and a port of that owner; two different owners."""
+    parts = [failing(rows, "connector.path", F.size("path") >= 2), failing(rows, "connector.source", some("source")), failing(rows, "connector.provenance", some_items("provenance")), foreign_key(rows, "evidence_id", evidence, "connector.evidence")]
+    for end in ("start", "end"):
+        for kind, owners in (("node", nodes), ("container", containers)):
+            parts.append(foreign_key(rows.where(F.col(f"{end}_owner_kind") == kind), f"{end}_owner_id", owners, f"connector.{end}_{kind}"))
+        parts.append(foreign_key(rows, f"{end}_port_id", ports, f"connector.{end}_port"))
+        owner = ports.select("slide_id", F.col("id").alias(f"{end}_port_id"), F.col("owner_id").alias("_owner"))
+        parts.append(failing(rows.join(owner, ["slide_id", f"{end}_port_id"]), f"connector.{end}_port_owner", F.col("_owner") == F.col(f"{end}_owner_id")))
+    parts.append(failing(rows, "connector.same_owner", F.col("start_owner_id") != F.col("end_owner_id")))
+    return reduce(DataFrame.union, parts)
+
+
+def unattached(rows: DataFrame, evidence: DataFrame, ports: DataFrame) -> DataFrame:
+    """Evidence left unattached tells a reason, source and provenance, and names known evidence and candidate ports."""
+    rules = [("reason", some("reason")), ("source", some("source")), ("provenance", some_items("provenance"))]
+    return reduce(DataFrame.union, [*(failing(rows, f"unattached.{name}", holds) for name, holds in rules), foreign_key(rows, "evidence_id", evidence, "unattached.evidence"), foreign_keys(rows, "candidate_port_ids", ports, "unattached.port")])
+
+
 def stage_entities(rows: DataFrame, spatial: bool = False) -> DataFrame:
     """Rules of stage artifact rows: names, maps, guide axes, assignment links, emission links and fallback tags."""
     items = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0

@@ -121,13 +121,6 @@ def emit(containers: DataFrame, nodes: DataFrame, texts: DataFrame, connectors:
     return boxed(containers, "shape", 0).unionByName(boxed(nodes, "shape", 1)).unionByName(boxed(texts, "text", 2)).unionByName(lines).unionByName(boxed(rest, "residual", 4))
 
 
-def eval_items(scene: DataFrame, stage: str) -> DataFrame:
-    """Items of a scene's or an emission's records (slide_id, id, element, kind, box or path, attachment_ids); nulls leave the id arrays."""
-    prefix = F.when(F.col("element") == "connector", "connector-candidate:").when(F.col("element") == "shape", "rect-candidate:").otherwise("text-region:")
-    ids = F.array_distinct(F.array_compact(F.array("id", F.concat(prefix, F.col("id")))))
-    return scene.select("slide_id", F.lit(stage).alias("stage"), "id", "kind", "box", ids.alias("source_ids"), F.array_compact("attachment_ids").alias("attachment_ids"), F.lit(1.0).alias("score"), K.bucket(ids).alias("bucket"), F.lit(True).alias("evaluable"))
-
-
 def diff(expected: DataFrame, actual: DataFrame, value: str = "box") -> DataFrame:
     """Full comparison by (slide_id, element, id): missing, extra or mismatch (exact), equal."""
     a = expected.select("slide_id", "element", "id", F.col(value).alias("a"), F.lit(True).alias("in_a"))
@@ -166,8 +159,3 @@ def stage_summary(**stages: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def same_sets(a: Column, b: Column) -> Column:
-    """No missing and no extra members."""
-    return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
