@@ -265,8 +265,9 @@ def located_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     coded = flagged.join(places, "a", "left").select("k1", "k2", F.struct((F.col("j") * 2 + F.col("mixed").cast("int")).alias("code"), F.coalesce(_other("low", "high", own), F.lit(0)).cast("long").alias("place")).alias("x"))
     factors = checkpointed(coded.groupBy("k1", "k2").agg(F.collect_set("x").alias("x"), F.max(F.col("x.code") % 2 == 1).alias("loose")))
     factors = factors.select("k1", "k2", "loose", F.col("x.code").alias("codes"), F.col("x.place").alias("code_places"))
-    split = keyed.select("text", "k1", "k2").join(factors.where("loose").select("k1", "k2", "codes"), ["k1", "k2"])
-    loose = checkpointed(split.mapInArrow(_emit_windows(window, gram), "w long, k1 long, k2 long, at int"))
+    # `keyed` as it is, with all its columns, so that this join and the last one use one shuffle of the texts
+    split = keyed.join(factors.where("loose").select("k1", "k2", "codes"), ["k1", "k2"])
+    loose = split.mapInArrow(_emit_windows(window, gram), "w long, k1 long, k2 long, at int")
     again = loose.groupBy("w").agg(F.count("*").alias("n"), F.min(own).alias("low"), F.max(own).alias("high")).where("n > 1").select("w", "low", "high")
     starts = loose.join(again, "w").groupBy("k1", "k2").agg(F.collect_set(F.struct("at", _other("low", "high", own).alias("place"))).alias("y"))
     return factors.drop("loose").join(starts.select("k1", "k2", F.col("y.at").alias("starts"), F.col("y.place").alias("start_places")), ["k1", "k2"], "left")
