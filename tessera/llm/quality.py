@@ -7,8 +7,8 @@ Mahalanobis distances by Cholesky factors that are computed once and sent to the
 The classifier is fitted on at most SAMPLE labelled rows, those with the smallest hash of their id; everything else covers all rows. Only the text enters a
 score. Rows whose crc32(doc_id as text) mod 5 is 0 are held out and never fitted on.
 
-Defined cases: null and empty texts have all statistics 0 and a score like any other; a null doc_id is neither held out nor fitted on; repeated rows are scored
-each; without labelled rows of both classes every score is the share of label 1 (0.5 without any); an empty table gives an empty result.
+Defined cases: null and empty texts have all statistics 0 and a score like any other, very long ones are read whole; a null doc_id is neither held out nor fitted on; repeated rows are
+scored each, and of rows with one doc_id one text is fitted on, the first in order; other columns, whatever their names, are ignored, or kept by keep_good(); without labelled rows of both classes every score is the share of label 1 (0.5 without any); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -124,8 +124,10 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` rows of `labels` (doc_id, quality) that aren't held out."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out())
-    chosen = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = plain(docs).join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_vectors, "label int, x array<double>").collect()
+    chosen = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    # one text of each (doc_id, label): `sample` rows reach the driver at most, however often an id is repeated
+    texts = plain(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = texts.select("label", "text").mapInArrow(_vectors, "label int, x array<double>").collect()
     rows.sort()  # arrival order must not matter
     return fit(np.array([r.x for r in rows]).reshape(len(rows), len(NAMES)), np.array([r.label for r in rows], np.int64))
 
