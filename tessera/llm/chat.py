@@ -1,7 +1,7 @@
 """Operator 3: chat formatting by schema fingerprints.
 
 A record's fingerprint is a hash of its nested field paths (array steps as []); it selects a declarative mapping that lists where
-roles and texts are. Canonical turns are then written by one template,
+roles and texts are. A fingerprint that no mapping lists, such as one with a field more, selects the mapping with most required paths among those whose required paths it all has. Canonical turns are then written by one template,
 
     ### role: text </turn>
 
@@ -9,7 +9,8 @@ where control strings inside roles and texts are escaped reversibly, and the los
 formatted and read back as a stream in turn order, so a conversation of any length needs the memory of one turn.
 
 Defined cases: a null role or text is empty; a null turn comes before others, equal turns by role, then text; repeated rows are turns each; a null
-conv_id is a conversation of its own; a record without a mapping has no turns (`unmapped` lists such records); an empty table gives an empty result.
+conv_id is a conversation of its own; a record that no mapping fits has no turns (`unmapped` lists such records), but in formatted text it is one turn of the role `unmapped`
+with the record as its text, so none is lost; texts of any length are written whole; other columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -74,6 +75,12 @@ def registry(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
     return {fingerprint({*m.required, *some}): m for m in mappings for k in range(len(m.optional) + 1) for some in combinations(m.optional, k)}
 
 
+def mapping_of(found: set[str], mappings: tuple[Mapping, ...] = MAPPINGS) -> Mapping | None:
+    """The mapping with most required paths among those whose required paths are all there; None if there is none, or two."""
+    fit = sorted((m for m in mappings if {*m.required} <= found), key=lambda m: -len(m.required))
+    return fit[0] if fit and (len(fit) == 1 or len(fit[0].required) > len(fit[1].required)) else None
+
+
 def _get(value: object, path: str) -> object:
     for key in path.split("."):
         value = value.get(key) if isinstance(value, dict) else None
@@ -96,15 +103,24 @@ def canonical(record: dict, m: Mapping) -> list[tuple[int | None, str, str]]:
     return [(i, *x) for i, x in enumerate(out)]
 
 
-def _turns(mappings: tuple[Mapping, ...]):
+def _turns(mappings: tuple[Mapping, ...], keep_unmapped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = registry(mappings)
         for batch in batches:
             rows = []
             for conv, text in zip(batch.column("conv_id").to_pylist(), batch.column("record").to_pylist(), strict=True):
                 record = _loads(text)
-                if isinstance(record, dict) and (m := known.get(fingerprint(paths(record)))):
+                m = None
+                if isinstance(record, dict):
+                    found = paths(record)
+                    name = fingerprint(found)
+                    if name not in known and len(known) < 100_000:
+                        known[name] = mapping_of(found, mappings)
+                    m = known[name] if name in known else mapping_of(found, mappings)
+                if m:
                     rows += [(conv, *t) for t in canonical(record, m)]
+                elif keep_unmapped:
+                    rows.append((conv, 0, "unmapped", text or ""))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["conv_id", "place", "role", "text"])
 
@@ -118,21 +134,31 @@ def _loads(text: str | None) -> object:
         return None
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [fingerprint(paths(x)) if isinstance(x := _loads(t), dict) else None for t in batch.column("record").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("record"), pa.array(found, pa.string())], ["conv_id", "record", "fingerprint"])
+def _prints(mappings: tuple[Mapping, ...]):
+    """The records that no mapping fits, with their fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = registry(mappings)
+        for batch in batches:
+            prints, keep = [], []
+            for text in batch.column("record").to_pylist():
+                record = _loads(text)
+                found = paths(record) if isinstance(record, dict) else None
+                prints.append(None if found is None else fingerprint(found))
+                keep.append(found is None or (prints[-1] not in known and mapping_of(found, mappings) is None))
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("record"), pa.array(prints, pa.string())], ["conv_id", "record", "fingerprint"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def unmapped(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """conv_id, record and fingerprint of the records that no mapping fits; a null fingerprint marks what is no JSON object."""
-    seen = records.select(F.col("conv_id").cast("long"), F.col("record").cast("string")).mapInArrow(_prints, "conv_id long, record string, fingerprint string")
-    return seen.where(~F.coalesce(F.col("fingerprint").isin(*registry(mappings)), F.lit(False)))
+    return records.select(F.col("conv_id").cast("long"), F.col("record").cast("string")).mapInArrow(_prints(mappings), "conv_id long, record string, fingerprint string")
 
 
-def turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Canonical turns (TURNS) of `records`: conv_id and record, a JSON text."""
-    return records.select(F.col("conv_id").cast("long"), F.col("record").cast("string")).mapInArrow(_turns(mappings), TURNS)
+def turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS, keep_unmapped: bool = False) -> DataFrame:
+    """Canonical turns (TURNS) of `records`: conv_id and record, a JSON text. With keep_unmapped, a record that no mapping fits is one turn of that role."""
+    return records.select(F.col("conv_id").cast("long"), F.col("record").cast("string")).mapInArrow(_turns(mappings, keep_unmapped), TURNS)
 
 
 #: What stands for a control string inside roles and texts.
@@ -175,7 +201,7 @@ def format_turns(found: DataFrame) -> DataFrame:
 
 
 def format_records(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    return format_turns(turns(records, mappings))
+    return format_turns(turns(records, mappings, keep_unmapped=True))
 
 
 class _Reader:

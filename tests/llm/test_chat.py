@@ -66,6 +66,16 @@ def test_layouts_become_the_same_turns(spark):
     assert sorted(r.conv_id for r in chat.unmapped(df).collect()) == [6, 7, 8, 9, 90, 91]
 
 
+def test_no_conversation_is_lost(spark):
+    call = {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a", "tool_calls": [{"id": 3}]}]}
+    df = spark.createDataFrame([(1, json.dumps(call)), (2, '{"foo": 1}'), (3, None), (4, "{")], "conv_id long, record string").withColumn("text", F.lit(0)).withColumn("place", F.lit(0))
+    found = sorted((r.conv_id, r.place, r.role, r.text) for r in chat.turns(df).collect())
+    assert found == [(1, 0, "user", "q"), (1, 1, "assistant", "a")] and sorted(r.conv_id for r in chat.unmapped(df).collect()) == [2, 3, 4]
+    kept = {r.conv_id: r for r in chat.digest(chat.format_records(df)).collect()}
+    assert {k: (r.n_turns, r.loss_chars) for k, r in kept.items()} == {1: (2, 1), 2: (1, 0), 3: (1, 0), 4: (1, 0)}
+    assert kept[2].turns_sha256 == hashlib.sha256(b'unmapped\n{"foo": 1}\n').hexdigest()
+
+
 def test_fingerprint_ignores_order_and_values():
     assert chat.fingerprint(chat.paths({"a": 1, "b": [{"c": 2}, {"d": 3}]})) == chat.fingerprint(chat.paths({"b": [{"d": None, "c": "x"}], "a": {}}))
     assert chat.paths({"a": [], "b": {}}) == {"a[]", "b"}
