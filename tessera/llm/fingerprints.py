@@ -10,17 +10,19 @@ Documents pass in descending order of doc_id: range buckets hold neighbours in t
 (after the last, to the first), and a task streams through its buckets with one row in hand. Texts are shuffled once.
 
 Defined cases: a null text is empty; an empty text has no phrases, a fingerprint of its own and likeness 1 to another empty text and 0 to others; rows with equal doc_id come by text,
-null ids last; a single row is its own next document; an empty table gives an empty result.
+null ids last; a single row is its own next document; texts of any length are parsed whole; other columns, whatever their names, are ignored; an empty table gives an empty result. Rows
+of one doc_id (or of none) are neighbours and share a bucket, which streams row by row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, plain, table
@@ -168,16 +170,32 @@ def _finish(rows: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), _KINDS, strict=True)], names)
 
 
+#: Characters of text that a bucket should hold.
+BUCKET = 32 << 20
+
+
+def _above(x: Column, edges: list[int]) -> Column:
+    """How many of the falling `edges` lie above x, found in two steps so that many edges cost their square root a row."""
+    longs = lambda v: F.array(*(F.lit(e).cast("long") for e in v)) if v else F.array().cast("array<long>")
+    step = max(1, math.isqrt(len(edges)))
+    parts = [edges[i : i + step] for i in range(0, len(edges), step)]
+    before = lambda v: F.size(F.filter(v, lambda e: e > x))
+    part = before(longs([p[0] for p in parts]))
+    if not parts:
+        return F.lit(0)
+    return F.when(part == 0, F.lit(0)).otherwise((part - 1) * step + before(F.element_at(F.array(*map(longs, parts)), F.greatest(part, F.lit(1)))))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """RESULT for each row of `docs`."""
     spark = docs.sparkSession
     rows = plain(docs)
-    n = max(1, 2 * partitions(spark))
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, 2 * partitions(spark), size // BUCKET)
     known = rows.where("doc_id is not null")
     cuts = sorted({int(x) for x in known.select(F.col("doc_id").cast("double").alias("doc_id")).approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)})  # n - 1 numbers at most
     # bucket 0 has the largest ids; the last also has the null ids
-    edges = F.array(*(F.lit(x).cast("long") for x in reversed(cuts))) if cuts else F.array().cast("array<long>")
-    placed = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(edges, lambda e: e > F.col("doc_id")))))
+    placed = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(_above(F.col("doc_id"), cuts[::-1])))
     heads = sorted((r.bucket, r.head) for r in placed.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())  # a row for each bucket
     guests = None
     if heads:
@@ -191,7 +209,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         places = F.when(is_head, F.array(F.struct(F.col("bucket"), F.lit(False).alias("guest")), F.struct(to[F.col("bucket")].alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col("bucket"), F.lit(False).alias("guest"))))
         guests = placed.withColumn("place", F.explode(places)).select("place.bucket", "place.guest", "doc_id", "text")
     sent = guests if guests is not None else placed.select("bucket", F.lit(False).alias("guest"), "doc_id", "text")
-    ordered = sent.repartition("bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    ordered = sent.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")
     return ordered.mapInArrow(_stream, RESULT)
 
 
