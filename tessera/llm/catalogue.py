@@ -16,4 +16,4 @@ QUERIES = {
     "op9_sampled_segmentation": sampling.query,
     "op10_nearest_neighbours": neighbours.query,
 }
-ORACLES = {"op3_chat_formatting": chat.SQL, "op5_substring_dedup": substring.SQL}
+ORACLES = {"op3_chat_formatting": chat.SQL, "op5_substring_dedup": substring.SQL, "op8_near_dedup": near_dedup.SQL}

@@ -17,7 +17,8 @@ Pairs of one component need no check, so a large group is never paired with itse
 are kept partitioned by class while pairs come to them. The order by rarity counts shingles in 2^18 hashed places: any order finds all pairs, a rough one will do.
 
 Defined cases: null, empty or blank text has no shingles and is linked with nothing; a text of one to four words has one shingle, its word sequence;
-repeated rows are one class; a null doc_id takes part and is never a smallest id; an empty table gives an empty result.
+repeated rows are one class; a null doc_id takes part and is never a smallest id; texts of any length are taken whole; other columns, whatever their names, are ignored, or kept by
+keep_first(); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import carried, checkpointed, partitions, plain, restored, row_key, table
+from .common import carried, checkpointed, few, partitions, plain, restored, row_key, table
 from .components import components, extended
 from .hashing import U, lists, long_lists, mix, shingle_sets, text_chunks
 
@@ -212,7 +213,7 @@ def near_groups(docs: DataFrame, **options) -> DataFrame:
     """doc_id, k1, k2, n_shingles, component_id, kept and first for each row of `docs`; `first` marks one text of each group (and all rows without shingles)."""
     signed, roots = classes_and_links(docs, **options)
     named = signed.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = named.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k2")).alias("least"))
+    least = few(checkpointed(named.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k2")).alias("least"))))
     found = named.join(least, "root", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     first = F.when(F.col("n") > 0, kept & (F.col("k2") == F.col("least.k2"))).otherwise(True)
@@ -237,3 +238,16 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS g FROM d),
+x AS MATERIALIZED (SELECT r, unnest(g) AS t FROM s),
+p AS (SELECT a.r AS u, b.r AS v, count(*) AS n FROM x a JOIN x b ON a.t = b.t AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN s a ON a.r = u JOIN s b ON b.r = v WHERE 100 * n >= 75 * (len(a.g) + len(b.g) - n)),
+e AS MATERIALIZED (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+reach AS (SELECT r AS a, r AS b FROM s UNION SELECT reach.a, e.v FROM reach JOIN e ON e.u = reach.b),
+c AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN s ON s.r = b GROUP BY 1)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON c.a = s.r
+"""

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+from compare import duck, spark_rows
 from pyspark.sql import functions as F
 
 from tessera.llm import near_dedup
@@ -82,3 +83,7 @@ def test_components_of_paths_and_stars(spark):
     assert found == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 160)} | {k: 298 for k in (298, 299, 300)}
     roots = components(spark.createDataFrame(pairs[:45], "u long, v long"))
     assert {r.node: r.root for r in extended(roots, spark.createDataFrame([*pairs[45:], (40, 103)], "u long, v long")).collect()} == found | {k: 0 for k in range(100, 160)}
+
+
+def test_query_equals_its_sql(spark, data):
+    assert spark_rows(near_dedup.query(spark, data)) == duck(near_dedup.SQL, data)
