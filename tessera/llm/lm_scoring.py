@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import few, plain, table
 from .hashing import U, mix, text_chunks, word_hashes, words
 
-BATCH, BUCKET = 24 << 20, 32 << 20
+BATCH, BUCKET = 12 << 20, 32 << 20
 BACK, PRIOR = 0.1, 8.0
 _BEGIN, _END, _PAIR = U(0x2545F4914F6CDD1D), U(0x9E6C63D0876A9A47), U(0xD6E8FEB86659FD93)
 
@@ -73,20 +73,27 @@ def _columns(table_: pa.Table) -> list[np.ndarray]:
     return [unpacked(table_.column(k)[0].as_py(), np.array(table_.column(f"{k}_large")[0].as_py(), np.int64)) for k in ("background", "target")]
 
 
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values, rising, and the place of each value among them."""
+    found, where = np.unique(x, return_inverse=True)
+    return found, where.astype(np.int32)
+
+
 class Batch:
     """Different words and pairs of a batch, by hash, and where each event finds its own."""
 
     def __init__(self, text: pa.ChunkedArray) -> None:
         column = text.combine_chunks() if text.num_chunks != 1 else text.chunk(0)
         before, after, self.words = events(column)
-        word, self.after = np.unique(after, return_inverse=True)
-        stood, place = np.unique(before, return_inverse=True)
-        # events as pairs of places: fewer hashes, and a pair's sort needs no 64-bit keys
-        pair, self.pair = np.unique(place * len(word) + self.after, return_inverse=True)
-        names = np.concatenate((word, stood, pairs(stood[pair // max(len(word), 1)], word[pair % max(len(word), 1)])))
-        self.keys, where = np.unique(names, return_inverse=True)
+        word, self.after = _numbered(after)
+        stood, self.before = _numbered(before)
+        del before, after
+        # events as pairs of places, so that only different pairs are hashed
+        pair, self.pair = _numbered(self.before * np.int64(len(word)) + self.after)
+        of_pair = pairs(stood[pair // max(len(word), 1)], word[pair % max(len(word), 1)])
+        del pair
+        self.keys, where = _numbered(np.concatenate((word, stood, of_pair)))
         self.word_at, self.stood_at, self.pair_at = np.split(where, [len(word), len(word) + len(stood)])
-        self.before = place
         self.size = np.where(self.words > 0, self.words + 1, 0)
 
     def counts(self, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
