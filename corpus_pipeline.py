@@ -1,6 +1,13 @@
 """Cleaning pipeline over `documents`: quality, lines, near duplicates, substrings, packing.
 
-Every stage takes all rows its predecessor kept; all but the last return the columns of documents.
+Every stage takes all rows its predecessor kept; all but the last return the columns of documents. In every stage, columns other than doc_id, text and n_chars pass
+unchanged, whatever their names; texts of any length are worked on whole; an empty table gives an empty result. For the rest:
+
+* quality: a null text is judged as the empty one; a row with a null doc_id is judged, never fitted on; repeated rows are judged alike.
+* lines: a null text stays null; a document whose lines all go stays, with an empty text; repeated rows count once and are all cleaned.
+* near duplicates: of equal rows one stays; rows without words (null, empty, blank) all stay; a null doc_id goes after all others of its group.
+* substrings: a null text stays null; repeated rows are repeats of each other; a document whose words all go stays, with an empty text.
+* packing: a null text is the piece [0]; rows with a null doc_id, and repeated ones, are packed each.
 """
 
 from __future__ import annotations

@@ -30,10 +30,6 @@ def source_kind(kind: Column) -> Column:
     return F.when(k.isin(CONTAINER_KINDS), "container").when(k.isin(CONNECTOR_KINDS), "connector").when(k.isin(TEXT_KINDS), "textbox").when(k == "", "unknown").otherwise(k)
 
 
-def compatible(a: Column, b: Column) -> Column:
-    return eval_kind(a) == eval_kind(b)
-
-
 def supports(stage: Column, kind: Column) -> Column:
     """Whether a stage can hold a (normalised) kind."""
     return F.when(stage == "01_geometry_raw", kind.isin("container", "connector")).when(stage == "02_guides", kind == "container").otherwise(kind.isin("container", "textbox", "connector"))
@@ -95,10 +91,5 @@ def text_role(b: Column, w: Column, h: Column) -> Column:
     return F.when((b["y0"] <= F.lit(0.18) * h) & (G.width(b) >= F.lit(0.22) * w), "title").when(G.height(b) >= F.lit(0.10) * h, "body").otherwise("label")
 
 
-def joined_labels(texts: Column) -> Column:
-    """Texts by line; null without any text."""
-    return F.nullif(F.array_join(F.filter(texts, lambda t: t.isNotNull() & (t != "")), "\n"), F.lit(""))
-
-
 def replace_prefix(x: Column, old: str, new: str) -> Column:
     return F.when(x.startswith(old), F.concat(F.lit(new), F.substring(x, len(old) + 1, 1 << 20))).otherwise(x)

@@ -53,10 +53,12 @@ def stages_of_scene(scene: DataFrame, emitted: DataFrame) -> DataFrame:
     return at(scene, "03_objects", "05_selection").unionByName(at(emitted, "07_emit"))
 
 
-def merged_manifest(manifest: DataFrame, matches: DataFrame) -> DataFrame:
-    """A manifest row per slide with the matched ground truth of its output by bucket, 0 where there is none."""
+def merged_manifest(manifest: DataFrame, matches: DataFrame, truth: DataFrame) -> DataFrame:
+    """A manifest row per slide with whether it has ground truth, and the matched ones of its output by bucket, 0 where there is none."""
     hits = matches.where("stage = '07_emit'").groupBy("slide_id").agg(*(F.count(F.when(F.col("bucket") == b, 1)).alias(f"matched_{b}") for b in K.BUCKETS))
-    return manifest.join(hits, "slide_id", "left").na.fill(0, [f"matched_{b}" for b in K.BUCKETS])
+    known = truth.select("slide_id").distinct().withColumn("gt_available", F.lit(True))
+    rows = manifest.join(hits, "slide_id", "left").join(known, "slide_id", "left")
+    return rows.na.fill(0, [f"matched_{b}" for b in K.BUCKETS]).na.fill(False, ["gt_available"])
 
 
 def evidence_text(similarity: Column) -> Column:

@@ -26,6 +26,12 @@ def zero_counts(items: DataFrame) -> DataFrame:
     return kinds.select("kind", F.explode(F.array(*map(F.lit, K.BUCKETS))).alias("bucket"), F.lit(0).cast("long").alias("n"))
 
 
+def filled_counts(items: DataFrame, kinds_of: DataFrame) -> DataFrame:
+    """(kind, bucket, n) of `items` over the zero template of the kinds of `kinds_of`; null counts are 0."""
+    found = items.select(K.source_kind(F.col("kind")).alias("kind"), K.bucket(F.col("source_ids")).alias("bucket")).groupBy("kind", "bucket").agg(F.count("*").alias("found"))
+    return zero_counts(kinds_of).join(found, ["kind", "bucket"], "left").select("kind", "bucket", F.coalesce("found", "n").alias("n"))
+
+
 def accounting(slides: DataFrame, emitted: DataFrame, residuals: DataFrame, dropped: DataFrame, cell: float | None = None) -> DataFrame:
     """One row a slide (slide_id, width, height): objects, areas by slide area, area of residuals under objects, dropped evidence."""
     area = F.greatest(F.lit(1.0), F.col("width") * F.col("height"))
@@ -36,8 +42,3 @@ def accounting(slides: DataFrame, emitted: DataFrame, residuals: DataFrame, drop
     rows = slides.join(e, "slide_id", "left").join(r, "slide_id", "left").join(d, "slide_id", "left").join(o, "slide_id", "left").na.fill(0)
     ratio = lambda c, n: (F.col(c) / area).alias(n)
     return rows.select("slide_id", "native_object_count", "raster_region_count", ratio("native_area", "native_area_ratio"), ratio("raster_area", "raster_area_ratio"), ratio("overlap_area", "overlap_area_ratio"), "dropped_count")
-
-
-def merged(manifest: DataFrame, oracle: DataFrame) -> DataFrame:
-    """Manifest rows (slide_id, stage) with evaluation counts; 0 and not available without evaluation."""
-    return manifest.join(oracle, ["slide_id", "stage"], "left").withColumn("gt_available", F.col("recoverable_count").isNotNull()).na.fill(0, ["recoverable_count"])

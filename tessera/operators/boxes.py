@@ -52,9 +52,5 @@ def reading_order(box: str = "box") -> list:
     return [F.col(f"{box}.{c}") for c in ("y0", "x0", "y1", "x1")]
 
 
-def top_k(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
-
-
 def union_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return boxes.groupBy(*keys).agg(G.union_box(F.col("box")).alias("box"), F.count("*").alias("n"))

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import adapter
+from ..functions import kinds as K
+from ..operators import adapter, attribution, matching, spatial
 from ..operators import constraints as C
+from ..operators import evaluation as E
 from . import fixtures as X
 from . import oracle as O
 
@@ -153,3 +155,59 @@ def scene_items(spark, d):
     items = adapter.scene_items(t.where("p % 3 = 0"), texts, lines)
     staged = adapter.stages_of_scene(items, items.where("kind <> 'textbox'"))
     return staged.select("stage", "slide_id", "id", "kind", F.array_join("source_ids", ",").alias("source_ids"), "parent_id", F.array_join("attachment_ids", ",").alias("attached"), "box.x0", "box.x1", "bucket")
+
+
+@register(f"SELECT kind, count(*) AS n FROM (SELECT {O.eval_kind('kind')} AS kind FROM ({X.duck(X.TRUTH)}) t) q GROUP BY 1")
+def count_by_kind(spark, d):
+    return E.count_by_kind(X.truth(spark, d))
+
+
+@register(
+    f"""WITH k AS (SELECT DISTINCT {O.source_kind('kind')} AS kind FROM ({X.duck(X.TRUTH)}) t), a AS (SELECT {O.source_kind('kind')} AS kind, {O.BUCKET} AS bucket FROM ({X.duck(X.ARTIFACTS)}) t WHERE stage = '02_guides' AND ord > 5)
+SELECT k.kind, b.bucket, CAST(coalesce(n, 0) AS BIGINT) AS n FROM k CROSS JOIN (VALUES {', '.join(f"('{b}')" for b in K.BUCKETS)}) AS b(bucket) LEFT JOIN (SELECT kind, bucket, count(*) AS n FROM a GROUP BY 1, 2) c ON c.kind = k.kind AND c.bucket = b.bucket"""
+)
+def zero_filled_buckets(spark, d):
+    return attribution.filled_counts(X.artifacts(spark, d, "02_guides").where("ord > 5"), X.truth(spark, d))
+
+
+@register(
+    O.query(
+        O.BASE, O.matched("m"),
+        body=f"""SELECT o_orderkey AS slide_id, g.slide_id IS NOT NULL AS gt_available, {', '.join(f'CAST(coalesce({b}, 0) AS BIGINT) AS matched_{b}' for b in K.BUCKETS)} FROM orders LEFT JOIN (SELECT DISTINCT slide_id FROM gt) g ON g.slide_id = o_orderkey
+LEFT JOIN (SELECT slide_id, {', '.join(f"count(*) FILTER (bucket = '{b}') AS {b}" for b in K.BUCKETS)} FROM m WHERE stage = '07_emit' GROUP BY 1) h ON h.slide_id = o_orderkey""",
+    )
+)
+def manifest_merged(spark, d):
+    truth = X.truth(spark, d)
+    slides = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("slide_id"))
+    return adapter.merged_manifest(slides, matching.stage_matches(truth, X.artifacts(spark, d)), truth)
+
+
+@register(
+    f"""WITH b AS (SELECT slide_id, id, x0 - 6 AS x0, y0 - 6 AS y0, x1 + 6 AS x1, y1 + 6 AS y1 FROM ({X.duck(X.TRUTH)}) t WHERE kind = 'box'), t AS ({X.duck(X.TEXTS)})
+SELECT b.slide_id, b.id AS box_id, string_agg(t.id, ',' ORDER BY t.ord) AS text_ids, string_agg(t.text, chr(10) ORDER BY t.ord) FILTER (t.text <> '') AS label FROM b JOIN t ON b.slide_id = t.slide_id
+WHERE {O.overlaps('b.', 't.')} OR ((t.x0 + t.x1) / 2 BETWEEN b.x0 AND b.x1 AND (t.y0 + t.y1) / 2 BETWEEN b.y0 AND b.y1) GROUP BY 1, 2"""
+)
+def texts_near_boxes(spark, d):
+    found = spatial.texts_near(X.truth(spark, d).where("kind = 'box'"), X.texts(spark, d), 6.0)
+    return found.select("slide_id", "box_id", F.array_join("text_ids", ",").alias("text_ids"), "label")
+
+
+@register(
+    f"""WITH t AS ({X.duck(X.TEXTS)}), s AS (SELECT o_orderkey AS slide_id, o_custkey % 17 = 0 AS bad FROM orders)
+SELECT 'canvas.size' AS rule, slide_id, 'canvas' AS id FROM s WHERE bad
+UNION ALL SELECT 'texts.mirror', slide_id, CAST(NULL AS VARCHAR) FROM (SELECT slide_id, bool_or(ord % 3 = 0) AS lost FROM t GROUP BY 1) q WHERE lost
+UNION ALL SELECT 'text.source', slide_id, id FROM t WHERE text IS NULL"""
+)
+def violations_layers(spark, d):
+    slides = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("slide_id"), F.lit(1200).alias("width"), F.lit(800).alias("height"), "o_custkey")
+    canvases = slides.select("slide_id", "width", F.when(F.col("o_custkey") % 17 == 0, F.col("height") - 1).otherwise(F.col("height")).alias("height"))
+    texts = X.texts(spark, d).withColumn("source", F.col("text")).withColumn("confidence", F.lit(0.5)).withColumn("provenance", F.array(F.lit("x")))
+    return C.canvas_spans(canvases, slides).union(C.mirrored(texts, texts.where("ord % 3 <> 0"), "texts.mirror")).union(C.element_rules(texts, "text"))
+
+
+@register(
+    f"""SELECT slide_id, id, printf('%.4f', score) AS text, round_even(score, 4) AS reported FROM ({X.duck(X.TRUTH)}) t"""
+)
+def evidence_texts(spark, d):
+    return X.truth(spark, d).select("slide_id", "id", adapter.evidence_text(F.col("score")).alias("text"), adapter.reported(F.col("score")).alias("reported"))
