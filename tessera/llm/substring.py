@@ -257,7 +257,8 @@ def _other(low: str, high: str, own: Column) -> Column:
 def located_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Of documents with their row_key(), by k1, k2: the repeated runs (codes) and the repeated windows of mixed blocks (starts), each with its place in the reference."""
     own = F.shiftleft(F.shiftright("k2", 32), 32) + F.col("at")
-    anchors = checkpointed(keyed.select("text", "k1", "k2").mapInArrow(_emit_anchors(window, gram), "a long, c long, k1 long, k2 long, j int, at int, inner boolean"))
+    # parsed twice (to count and to join): a table of all anchors would be larger than the texts
+    anchors = keyed.select("text", "k1", "k2").mapInArrow(_emit_anchors(window, gram), "a long, c long, k1 long, k2 long, j int, at int, inner boolean")
     counted = anchors.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("inner").alias("inner")).where("n > 1 or inner")
     blocks = counted.select("a", ((F.col("c0") != F.col("c1")) | F.col("inner")).alias("mixed"))
     flagged = checkpointed(anchors.join(blocks, "a").select("a", "k1", "k2", "j", "at", "mixed"))
