@@ -244,7 +244,7 @@ def node_boxes(plane: np.ndarray, focus: tuple[int, int, int, int]) -> list[tupl
 
 def segments(mask: np.ndarray, least: int | None = None, gap: int = 6) -> list[tuple[int, int, int, int]]:
     """Axis-parallel segments (xa, ya, xb, yb): runs of ink with gaps of at most `gap`, of a minimal length."""
-    least = least or max(12, min(mask.shape) // 12)
+    least = least or max(12, min(mask.shape) // 14)
     out = []
     for flip in (False, True):
         m = mask.T if flip else mask
