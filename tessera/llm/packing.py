@@ -216,7 +216,9 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     for r in found.groupBy("length").count().collect():  # a row for each length, `capacity` at most
         count[r["length"]] = r["count"]
     least = lower_bound(count, capacity)
-    current = packed(found.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("open")), int(count.sum()), 0, "doc_id", "piece", "ids_crc32")
+    # partitions by row number, which a checkpoint fixes: rows that are alike in all columns, however many, spread like any others
+    start = found.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("open"), F.monotonically_increasing_id().alias("row"))
+    current = packed(start, int(count.sum()), 0, "row")
     done, closed, idle, fewest = [], 0, 0, None
     for round_ in count_from(1):
         done.append(current.where("not open"))

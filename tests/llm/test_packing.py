@@ -73,6 +73,19 @@ def test_odd_rows(spark, coder):
     assert packing.pack_documents(twice).count() == 3
 
 
+def test_equal_rows_spread(spark):
+    sizes = []
+    df = spark.createDataFrame([(1, 0, 0, 700, 5)] * 2000, packing.PIECES)
+    rows = packing.pack(df, group=100).collect()
+    fill = defaultdict(int)
+    for r in rows:
+        fill[r.sequence_id] += r.length
+        sizes.append(r.offset)
+    assert len(rows) == 2000 and len(fill) == 1000 and set(fill.values()) == {1400} and set(sizes) == {0, 700}
+    names = {r.sequence_id >> 24 for r in rows}
+    assert len(names) > 10  # many partitions made bins of them
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from([*"abZ é'sñ_-1²  \n\t\r.!漢<|>", "<|endoftext|>", "<|endof", "text|>"]), max_size=60).map("".join))
 def test_ids_are_the_tokenizer_s(text):
