@@ -107,7 +107,7 @@ def leaves(different: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS) ->
     for depth in range(lead):
         at = at.withColumn("word", F.get("head", F.lit(depth)))
         known = at.groupBy("node", "word").agg(F.count("*").alias("lines")).where(F.col("lines") >= min_docs).select("node", F.col("word"), F.lit(True).alias("known"))
-        at = at.join(known, ["node", "word"], "left").select("body", "head", F.xxhash64("node", F.when(F.col("known"), F.col("word"))).alias("node"), (F.col("wild") + F.col("known").isNull().cast("int")).alias("wild"))
+        at = at.join(few(checkpointed(known)), ["node", "word"], "left").select("body", "head", F.xxhash64("node", F.when(F.col("known"), F.col("word"))).alias("node"), (F.col("wild") + F.col("known").isNull().cast("int")).alias("wild"))
         at = checkpointed(at.where(F.col("wild") <= WILD))
     sizes = at.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") >= min_docs)
     return at.join(sizes, "node").select("body", F.col("node").alias("leaf"), "size")
@@ -141,7 +141,7 @@ def templates(lines: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS) -> D
     # a position has at most 1 / SHARE constants
     constant = constant.groupBy("leaf").agg(F.collect_list(F.struct("place", "word")).alias("c")).select("leaf", F.col("c.place").alias("places"), F.col("c.word").alias("constants"))
     general = held.join(constant, "leaf").select("body", "leaf", "words", "places", "constants").mapInArrow(_generalise, "body long, template long")
-    named = checkpointed(different.select("body", "lines").join(checkpointed(general), "body", "left").select("body", "lines", F.coalesce("template", "body").alias("template")))
+    named = checkpointed(different.select("body", "lines").join(few(checkpointed(general)), "body", "left").select("body", "lines", F.coalesce("template", "body").alias("template")))
     often = named.groupBy("template").agg(F.sum("lines").alias("lines")).where(F.col("lines") >= min_docs)
     return named.join(often.select("template"), "template").select("body", "template")
 
@@ -194,5 +194,5 @@ def clean(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = drop_lines(table(spark, sf_dir, "documents"))
+    found = drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("clean_text", 256).alias("clean_sha256"))
