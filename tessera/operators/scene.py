@@ -85,9 +85,8 @@ def nodes_of(proposals: DataFrame, contours: DataFrame, texts: DataFrame) -> Dat
     label = F.nullif(F.array_join(F.filter(F.transform("h", lambda h: h["text"]), lambda x: x != ""), "\n"), F.lit(""))
     a = a.select(*keys, "box", F.when(some, F.lit(0.82)).otherwise(F.lit(0.58)).alias("confidence"), label.alias("label"), F.coalesce(F.transform("h", lambda h: h["t"]), F.array().cast("array<string>")).alias("text_ids"), F.lit("contour").alias("source"))
     b = texts.join(contours.select(*keys).distinct(), keys, "left_anti").select(*keys, G.expand(F.col("box"), 10.0).alias("box"), F.lit(0.62).alias("confidence"), F.col("text").alias("label"), F.array("id").alias("text_ids"), F.lit("text_anchor").alias("source"))
-    used = contours.select(*keys).union(texts.select(*keys)).distinct()
     margin = F.least(F.lit(6.0), F.least(G.width(F.col("focus")), G.height(F.col("focus"))) / 10.0)
-    c = p.join(used, keys, "left_anti").select(*keys, G.inset(F.col("focus"), margin).alias("box"), F.lit(0.34).alias("confidence"), F.lit(None).cast("string").alias("label"), F.array().cast("array<string>").alias("text_ids"), F.lit("proposal").alias("source"))
+    c = p.join(contours.select(*keys), keys, "left_anti").join(texts.select(*keys), keys, "left_anti").select(*keys, G.inset(F.col("focus"), margin).alias("box"), F.lit(0.34).alias("confidence"), F.lit(None).cast("string").alias("label"), F.array().cast("array<string>").alias("text_ids"), F.lit("proposal").alias("source"))
     rows = a.unionByName(b).unionByName(c)
     n = F.row_number().over(Window.partitionBy(*keys).orderBy("box.y0", "box.x0", "box.y1", "box.x1", "text_ids"))
     return rows.withColumn("n", n).withColumn("id", F.concat("proposal_id", F.lit(":node:"), F.col("n").cast("string")))

@@ -19,3 +19,12 @@ def test_entry(spark):
 
 def test_every_query_has_sql_or_is_a_kernel():
     assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"pixel_regions"}
+
+
+@pytest.mark.parametrize("name", ["family_nodes"])
+def test_query_without_broadcasts(spark, data, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as over tables that are too large for them
+    try:
+        assert spark_rows(catalogue.QUERIES[name](spark, data)) == duck(catalogue.ORACLES[name], data)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
