@@ -21,7 +21,7 @@ def test_every_query_has_sql_or_is_a_kernel():
     assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"pixel_regions"}
 
 
-@pytest.mark.parametrize("name", ["family_nodes"])
+@pytest.mark.parametrize("name", ["family_nodes", "family_containers"])
 def test_query_without_broadcasts(spark, data, name):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as over tables that are too large for them
     try:
