@@ -19,3 +19,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = f"{context.getConf().get('spark.local.dir', '/tmp')}/checkpoints-{context.applicationId}"
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def released(df: DataFrame) -> None:
+    """Deletes the files of `df`, which checkpointed() returned, before Spark's cleaner happens to. Nothing that is still to be computed may read it."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import checkpointed as checkpointed  # shared with the other operators
+from ..lineage import released as released
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

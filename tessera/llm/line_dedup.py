@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, checkpointed, few, restored, row_key, table
+from .common import carried, checkpointed, few, released, restored, row_key, table
 from .hashing import DIGIT, U, lists, mix, spread, text_chunks, windows, word_hashes, words
 
 MIN_DOCS, MIN_WORDS, LEAD = 8, 3, 3
@@ -105,10 +105,13 @@ def leaves(different: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS) ->
     """body, leaf and size (different lines of the leaf) of the lines `different` (body, n, head: their first words) whose leaf has min_docs of them."""
     at = different.select("body", "head", F.xxhash64("n").alias("node"), F.lit(0).alias("wild"))
     for depth in range(lead):
-        at = at.withColumn("word", F.get("head", F.lit(depth)))
-        known = at.groupBy("node", "word").agg(F.count("*").alias("lines")).where(F.col("lines") >= min_docs).select("node", F.col("word"), F.lit(True).alias("known"))
-        at = at.join(few(checkpointed(known)), ["node", "word"], "left").select("body", "head", F.xxhash64("node", F.when(F.col("known"), F.col("word"))).alias("node"), (F.col("wild") + F.col("known").isNull().cast("int")).alias("wild"))
-        at = checkpointed(at.where(F.col("wild") <= WILD))
+        worded = at.withColumn("word", F.get("head", F.lit(depth)))
+        known = worded.groupBy("node", "word").agg(F.count("*").alias("lines")).where(F.col("lines") >= min_docs).select("node", F.col("word"), F.lit(True).alias("known"))
+        step = worded.join(few(checkpointed(known)), ["node", "word"], "left").select("body", "head", F.xxhash64("node", F.when(F.col("known"), F.col("word"))).alias("node"), (F.col("wild") + F.col("known").isNull().cast("int")).alias("wild"))
+        step = checkpointed(step.where(F.col("wild") <= WILD))
+        if depth:
+            released(at)
+        at = step
     sizes = at.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") >= min_docs)
     return at.join(sizes, "node").select("body", F.col("node").alias("leaf"), "size")
 
@@ -142,6 +145,8 @@ def templates(lines: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS) -> D
     constant = constant.groupBy("leaf").agg(F.collect_list(F.struct("place", "word")).alias("c")).select("leaf", F.col("c.place").alias("places"), F.col("c.word").alias("constants"))
     general = held.join(constant, "leaf").select("body", "leaf", "words", "places", "constants").mapInArrow(_generalise, "body long, template long")
     named = checkpointed(different.select("body", "lines").join(few(checkpointed(general)), "body", "left").select("body", "lines", F.coalesce("template", "body").alias("template")))
+    for done in (different, inside, held):
+        released(done)
     often = named.groupBy("template").agg(F.sum("lines").alias("lines")).where(F.col("lines") >= min_docs)
     return named.join(often.select("template"), "template").select("body", "template")
 
@@ -182,8 +187,10 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_W
     keyed = held.select("doc_id", "text", "rest", *row_key())
     lines = checkpointed(keyed.select("text", "k1", "k2").mapInArrow(_emit(min_words), LINES))
     found = checkpointed(lines.select("body", "k1", "k2", "line", "keys").join(few(checkpointed(templates(lines, lead, min_docs))), "body"))
-    found = found.select("template", "k1", "k2", "line").join(few(checkpointed(recurring(found, min_docs))), "template")
-    cuts = checkpointed(found.groupBy("k1", "k2").agg(F.collect_set("line").alias("cut")))
+    released(lines)  # of the texts' size; the texts themselves are shuffled below
+    of = found.select("template", "k1", "k2", "line").join(few(checkpointed(recurring(found, min_docs))), "template")
+    cuts = checkpointed(of.groupBy("k1", "k2").agg(F.collect_set("line").alias("cut")))
+    released(found)
     kinds = T.StructType([*(T.StructField(k, T.LongType()) for k in ("doc_id", "k1", "k2")), held.schema["rest"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("clean_text", T.StringType())])
     return keyed.join(cuts, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "rest", "text", "cut").mapInArrow(_drop, kinds)
 

@@ -1,5 +1,6 @@
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -161,3 +162,11 @@ def test_many_near_copies_are_one_content(spark):
     rows = list(enumerate(texts))
     found = L.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.clean_text) for r in found) == rows
+
+
+def test_lines_are_gone_before_texts_are_shuffled(spark, data, monkeypatch):
+    made, real = [], L.checkpointed
+    monkeypatch.setattr(L, "checkpointed", lambda df: made.append(real(df)) or made[-1])
+    L.drop_lines(spark.read.parquet(f"{data}/documents.parquet").limit(60))
+    there = lambda df: Path(df._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")).exists()
+    assert [there(df) for df in made if "words" in df.columns] == [False, False] and there(made[-1])

@@ -1,8 +1,9 @@
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
 
-from tessera.lineage import checkpointed
+from tessera.lineage import checkpointed, released
 
 
 def fake(master, folder=None, own=None):
@@ -26,3 +27,11 @@ def test_the_shared_folder_is_the_setting_s():
 def test_a_checkpoint_ends_lineage(spark):
     df = checkpointed(spark.range(10).selectExpr("id * 2 AS x"))
     assert sorted(r.x for r in df.collect()) == list(range(0, 20, 2)) and "Range" not in df._jdf.queryExecution().toString()
+
+
+def test_released_files_are_gone(spark):
+    kept, gone = (checkpointed(spark.range(n)) for n in (10, 20))
+    files = [df._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:") for df in (kept, gone)]
+    released(gone)
+    released(gone)
+    assert [Path(f).exists() for f in files] == [True, False] and kept.count() == 10
