@@ -117,20 +117,21 @@ def failures_of_predictions(truth: DataFrame, predictions: DataFrame, matches: D
     return rows.select("slide_id", F.col("id").alias("prediction_id"), "kind", tag.alias("tag"), F.col("other.id").alias("best_gt_id"), F.greatest(F.lit(0.0), "similarity").alias("best_similarity"), "bucket")
 
 
-def _audit_columns(best: DataFrame) -> DataFrame:
-    """The best candidates of all stages side by side: one row a ground truth, one struct a stage."""
-    item = F.struct("item", "similarity", "passes")
-    return best.groupBy("slide_id", "gt_id").agg(*(F.max(F.when(F.col("stage") == s, item)).alias(n) for n, s in zip(("raw", "snapped", "object", "selected", "emit"), K.STAGES, strict=True)))
+def _audit_columns(pairs: DataFrame) -> DataFrame:
+    """The best candidates of all stages side by side, as best_of() orders them: one row a ground truth, one struct a stage."""
+    item, order = F.struct("item", "similarity", "passes"), F.struct("similarity", "item.score", "item.id")
+    return pairs.groupBy("slide_id", "gt_id").agg(*(F.max_by(item, F.when(F.col("stage") == s, order)).alias(n) for n, s in zip(("raw", "snapped", "object", "selected", "emit"), K.STAGES, strict=True)))
 
 
 def geometry_audit(truth: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Per ground truth the best candidate of each stage, and a status that tells where it was lost."""
-    pairs = checkpointed(M.same_kind_pairs(truth, artifacts, "07_emit"))
-    best = M.best_of(pairs)
+    """Per ground truth the best candidate of each stage, and a status that tells where it was lost.
+
+    Pairs are many times the items, so they are made twice and never written; if both tables lie by slide, nothing is shuffled here."""
+    pairs = M.same_kind_pairs(truth, artifacts, "07_emit", by_slide=True)
     hits = M.matches_of(pairs.where("stage in ('05_selection', '07_emit')")).groupBy("slide_id", "gt_id")
     hits = hits.agg(F.max(F.col("stage") == "05_selection").alias("is_selected"), F.max(F.col("stage") == "07_emit").alias("is_emitted"), F.max(F.when(F.col("stage") == "07_emit", F.col("bucket"))).alias("emit_bucket"))
     boxes = M.normalised(truth).select("slide_id", F.col("id").alias("gt_id"), "kind", F.col("box").alias("gt_box"))
-    rows = boxes.join(_audit_columns(best), ["slide_id", "gt_id"], "left").join(hits, ["slide_id", "gt_id"], "left").na.fill(False, ["is_selected", "is_emitted"])
+    rows = M.join_by_slide(M.join_by_slide(boxes, _audit_columns(pairs), "gt_id", "left"), hits, "gt_id", "left").na.fill(False, ["is_selected", "is_emitted"])
     passes = lambda s: F.coalesce(F.col(f"{s}.passes"), F.lit(False))
     similarity = lambda s: F.coalesce(F.col(f"{s}.similarity"), F.lit(0.0))
     rescued = (passes("object") & F.coalesce(F.col("object.item.bucket").isin(FALLBACK_BUCKETS), F.lit(False)) & ~passes("raw")) | F.coalesce(F.col("emit_bucket").isin(FALLBACK_BUCKETS), F.lit(False))
@@ -144,22 +145,24 @@ def geometry_audit(truth: DataFrame, artifacts: DataFrame) -> DataFrame:
     return rows.withColumn("status", status)
 
 
-def enclosed_ids(boxes: DataFrame, truth: DataFrame, box: str) -> DataFrame:
-    """(slide_id, gt_id, enclosed): other containers of the ground truth inside a box."""
-    inner = M.normalised(truth).where("kind = 'container' and box is not null").select("slide_id", F.col("id").alias("inner_id"), F.col("box").alias("inner_box"))
-    found = boxes.where(F.col(box).isNotNull()).select("slide_id", "gt_id", F.col(box).alias("outer_box")).join(inner, "slide_id")
-    found = found.where("inner_id <> gt_id").where(G.contains(F.col("outer_box"), F.col("inner_box")))
-    return found.groupBy("slide_id", "gt_id").agg(F.array_sort(F.collect_list("inner_id")).alias("enclosed"))
+def _enclosed(box: Column, others: Column) -> Column:
+    """Ids among `others` (id, box) that lie in a box, but for the row's own; null if there are none."""
+    found = F.array_sort(F.transform(F.filter(others, lambda o: (o["id"] != F.col("gt_id")) & G.contains(box, o["box"])), lambda o: o["id"]))
+    return F.when(F.size(found) > 0, found)
 
 
 def container_audit(truth: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Audit of containers: relation to the raw and the snapped candidate, what snapping did, and a status."""
-    rows = checkpointed(geometry_audit(truth, artifacts).where("kind = 'container'"))
-    boxes = rows.select("slide_id", "gt_id", F.col("raw.item.box").alias("raw_box"), F.col("snapped.item.box").alias("snapped_box"))
+    truth = M.normalised(truth).where("kind = 'container'")  # kinds never compete
+    rows = geometry_audit(truth, artifacts)
+    others = truth.where("box is not null").groupBy("slide_id").agg(F.collect_list(F.struct("id", "box")).alias("others"))
+    rows = rows.join(others, "slide_id", "left")
     for name in ("raw", "snapped"):
-        rows = rows.join(enclosed_ids(boxes, truth, f"{name}_box").withColumnRenamed("enclosed", f"{name}_enclosed"), ["slide_id", "gt_id"], "left")
-    same = artifacts.where("evaluable and stage = '02_guides'").groupBy("slide_id", G.signature(F.col("box")).alias("signature")).agg(F.count("*").alias("n_same"))
-    rows = rows.withColumn("signature", G.signature(F.col("snapped.item.box"))).join(same, ["slide_id", "signature"], "left")
+        rows = rows.withColumn(f"{name}_enclosed", _enclosed(F.col(f"{name}.item.box"), F.col("others")))
+    rows = rows.drop("others")
+    guides = artifacts.where("evaluable and stage = '02_guides' and box is not null").groupBy("slide_id").agg(F.collect_list(G.signature(F.col("box"))).alias("signatures"))
+    own = G.signature(F.col("snapped.item.box"))
+    rows = rows.join(guides, "slide_id", "left").withColumn("n_same", F.size(F.filter("signatures", lambda s: s == own))).drop("signatures")
     passes = lambda s: F.coalesce(F.col(f"{s}.passes"), F.lit(False))
     raw, snapped = (F.coalesce(F.col(f"{s}.similarity"), F.lit(0.0)) for s in ("raw", "snapped"))
     effect = (

@@ -76,12 +76,19 @@ def unmatched(items: DataFrame, matches: DataFrame, key: str) -> DataFrame:
     return items.join(matches.select("slide_id", F.col(key).alias("id")).distinct(), ["slide_id", "id"], "left_anti")
 
 
-def same_kind_pairs(truth: DataFrame, artifacts: DataFrame, attachment_stage: str | None = None) -> DataFrame:
+def join_by_slide(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join by slide_id and `key` that shuffles by slide_id only, and not at all what lies so: Spark would deal tables out anew for a second key, and does not take bounds for one."""
+    other = right.withColumnsRenamed({"slide_id": "other_slide", key: "other_key"})
+    return left.join(other, (F.col("slide_id") == F.col("other_slide")) & F.col(key).between(F.col("other_key"), F.col("other_key")), how).drop("other_slide", "other_key")
+
+
+def same_kind_pairs(truth: DataFrame, artifacts: DataFrame, attachment_stage: str | None = None, by_slide: bool = False) -> DataFrame:
     """Every ground truth with every evaluable artifact of its slide and kind: similarity, and whether it passes the stage's threshold (and, at `attachment_stage`, the attachments agree)."""
     g = normalised(truth).select("slide_id", "kind", F.col("id").alias("gt_id"), F.col("box").alias("gt_box"), F.col("attachment_ids").alias("ga"))
     a = artifacts.where("evaluable").withColumn("raw_kind", F.col("kind")).withColumn("kind", K.eval_kind(F.col("kind")))
     a = a.select("slide_id", "kind", "stage", F.struct("id", "box", "attachment_ids", "score", "bucket", "raw_kind").alias("item"))
-    pairs = g.join(a, ["slide_id", "kind"]).withColumn("similarity", K.stage_similarity(F.col("kind"), F.col("gt_box"), F.col("kind"), F.col("item.box")))
+    pairs = join_by_slide(g, a, "kind") if by_slide else g.join(a, ["slide_id", "kind"])
+    pairs = pairs.withColumn("similarity", K.stage_similarity(F.col("kind"), F.col("gt_box"), F.col("kind"), F.col("item.box")))
     agree = (F.col("stage") != F.lit(attachment_stage)) | K.attachments_agree(F.col("ga"), F.col("item.attachment_ids")) if attachment_stage else F.lit(True)
     return pairs.withColumn("passes", (F.col("similarity") >= K.threshold(F.col("stage"), F.col("kind"))) & agree).drop("ga")
 
@@ -89,7 +96,17 @@ def same_kind_pairs(truth: DataFrame, artifacts: DataFrame, attachment_stage: st
 def matches_of(pairs: DataFrame) -> DataFrame:
     """Greedy matches among those of same_kind_pairs() that pass, at stages that support the kind."""
     fit = pairs.where(F.col("passes") & K.supports(F.col("stage"), F.col("kind")))
-    return greedy_match(fit.select("slide_id", "stage", "gt_id", F.col("item.id").alias("artifact_id"), "similarity", F.col("item.bucket").alias("bucket"), "kind"))
+    return folded_matches(fit.select("slide_id", "stage", "gt_id", F.col("item.id").alias("artifact_id"), "similarity", F.col("item.bucket").alias("bucket"), "kind"))
+
+
+def folded_matches(pairs: DataFrame) -> DataFrame:
+    """The matches of greedy_match() without its shuffle, for pairs that lie by slide: a group's pairs are one array here, folded in the same order."""
+    order = F.struct((-F.col("similarity")).alias("order"), "gt_id", "artifact_id", "bucket")
+    taken = lambda kept, x: F.exists(kept, lambda k: k["gt_id"].eqNullSafe(x["gt_id"]) | k["artifact_id"].eqNullSafe(x["artifact_id"]))
+    groups = pairs.groupBy("slide_id", "stage", "kind").agg(F.sort_array(F.collect_list(order)).alias("all"))
+    found = F.aggregate("all", F.filter("all", lambda x: x["gt_id"].isNull() & x["gt_id"].isNotNull()), lambda kept, x: F.when(taken(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+    rows = groups.select("slide_id", "stage", "kind", F.explode(found).alias("m"))
+    return rows.select("slide_id", "stage", "m.gt_id", "m.artifact_id", (-F.col("m.order")).alias("similarity"), "m.bucket", "kind")
 
 
 def best_of(pairs: DataFrame) -> DataFrame:

@@ -179,7 +179,7 @@ AUDIT_BODY = f"SELECT g.slide_id, g.id AS gt_id, g.k1 AS kind, s0.artifact_id AS
 
 @register(AUDIT.format(AUDIT_BODY))
 def geometry_audit(spark, d):
-    rows = E.geometry_audit(X.truth(spark, d), X.artifacts(spark, d))
+    rows = E.geometry_audit(*X.by_slide(spark, d))
     return rows.select("slide_id", "gt_id", "kind", F.col("raw.item.id").alias("raw_id"), F.coalesce("raw.similarity", F.lit(0.0)).alias("raw_similarity"), F.col("emit.item.id").alias("emit_id"), "fallback_rescued", "status")
 
 
@@ -219,7 +219,7 @@ CONTAINER = O.query(
 
 @register(CONTAINER)
 def container_audit(spark, d):
-    rows = E.container_audit(checkpointed(X.truth(spark, d)), X.artifacts(spark, d))
+    rows = E.container_audit(*X.by_slide(spark, d))
     ids = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
     return rows.select("slide_id", "gt_id", F.col("raw.item.id").alias("raw_id"), F.col("snapped.item.id").alias("snapped_id"), "raw_relation", "snapped_relation", "raw_area_ratio", "snapped_area_ratio", ids("raw_enclosed"), ids("snapped_enclosed"), "snap_effect", "snap_delta", "status")
 

@@ -19,6 +19,8 @@ FROM (SELECT slide_id, n, p, u, f, kind, x0, y0, CASE WHEN kind = 'arrow' AND p
       40 + 4 * l_quantity AS w0, CASE WHEN l_linestatus = 'O' THEN CAST(30 + l_partkey % 90 AS DOUBLE) ELSE CAST(6 AS DOUBLE) END AS h0, 1 - l_discount AS score, l_tax AS tax
     FROM {lineitem}) q0) q
 """
+LAST_TIE = "l_shipdate, l_extendedprice"
+PARTS = 4
 #: Jittered copies in five stages, with some lost; every ninth kind differs and every seventh attachment.
 ARTIFACTS = f"""
 SELECT slide_id, stage, k, concat('a-', CAST(ord AS STRING)) AS id, ord, CASE WHEN (p + k) % 9 = 0 THEN 'rounded_rect' WHEN kind = 'box' THEN 'container' WHEN kind = 'textbox' THEN 'textbox' ELSE 'connector' END AS kind,
@@ -69,16 +71,34 @@ def with_sources(df: DataFrame) -> DataFrame:
     return df.withColumn("source_ids", ids)
 
 
+def _truth(rows: DataFrame) -> DataFrame:
+    return attached(boxed(rows)).withColumn("evaluable", F.lit(True)).withColumn("bucket", F.lit("other"))
+
+
+def _artifacts(rows: DataFrame) -> DataFrame:
+    rows = with_sources(attached(boxed(rows)))
+    return rows.withColumn("bucket", K.bucket(F.col("source_ids")))
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attached(boxed(frame(spark, sf_dir, TRUTH))).withColumn("evaluable", F.lit(True)).withColumn("bucket", F.lit("other"))
+    return _truth(frame(spark, sf_dir, TRUTH))
 
 
 def artifacts(spark: SparkSession, sf_dir: str, stage: str | None = None) -> DataFrame:
-    rows = with_sources(attached(boxed(frame(spark, sf_dir, ARTIFACTS))))
-    rows = rows.withColumn("bucket", K.bucket(F.col("source_ids")))
+    rows = _artifacts(frame(spark, sf_dir, ARTIFACTS))
     return rows if stage is None else rows.where(F.col("stage") == stage)
 
 
+def by_slide(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """truth() and artifacts() dealt by slide in one exchange that both read: lines that tie in TRUTH's order go on by their other columns, so neither side reads fewer of them.
+
+    There are PARTS times as many partitions as a shuffle has, so that what a task sorts (some ten pairs a line) stays in memory.
+    """
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition(PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    whole = lambda sql: spark.sql(sql.replace(LAST_TIE, f"{LAST_TIE}, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus"), lineitem=lines)
+    return _truth(whole(TRUTH)), _artifacts(whole(ARTIFACTS))
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxed(frame(spark, sf_dir, TEXTS))
 

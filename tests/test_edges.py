@@ -51,6 +51,14 @@ def test_greedy_order_and_large_groups(spark):
     assert {(r.gt_id, r.artifact_id) for r in matching.greedy_match(df).collect()} == want
 
 
+def test_folded_matches_are_the_greedy_ones(spark):
+    rng = np.random.default_rng(1)
+    rows = {(int(rng.integers(3)), f"g{rng.integers(20):02}", f"a{rng.integers(20):02}"): float(rng.integers(1, 6)) for _ in range(500)}
+    df = spark.createDataFrame([(s, "07_emit", g, a, x, "other", "container") for (s, g, a), x in rows.items()], matching.MATCH)
+    want = sorted(tuple(r) for r in matching.greedy_match(df).collect())
+    assert sorted(tuple(r) for r in matching.folded_matches(df).select(*df.columns).collect()) == want and want
+
+
 def test_contextual_ties_within_rounding(spark):
     left = spark.createDataFrame([item("", "g", "box", B(0, 0, 10, 10))], ITEM)
     wide = [item("", k, "box", B(0, 0, 10, 5.0 + d)) for k, d in (("z", 2e-9), ("a", 0.0), ("m", 1e-9), ("b", -1.0))]

@@ -1,4 +1,7 @@
+import re
+
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 import __spark_entry__ as entry
 from compare import duck, spark_rows
@@ -28,3 +31,19 @@ def test_query_without_broadcasts(spark, data, name):
         assert spark_rows(catalogue.QUERIES[name](spark, data)) == duck(catalogue.ORACLES[name], data)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def exchanges(spark, query, data):
+    """What the plan shuffles by and why, if only the list of stages is small enough for a broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        return re.findall(r" Exchange (\w+)\(.*?\), (\w+)", query(spark, data)._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["container_audit"])
+def test_audits_shuffle_lines_only(spark, data, name, monkeypatch):
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda *_: pytest.fail("pairs are written"))
+    found = exchanges(spark, catalogue.QUERIES[name], data)
+    assert found and set(found) == {("hashpartitioning", "REPARTITION_BY_NUM")}
