@@ -42,7 +42,7 @@ def exchanges(spark, query, data):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize(("name", "counts"), [("container_audit", 0), ("geometry_audit", 0), ("snap_effects", 1)])
+@pytest.mark.parametrize(("name", "counts"), [("container_audit", 0), ("geometry_audit", 0), ("snap_effects", 1), ("audit_status_counts", 1)])
 def test_audits_shuffle_lines_only(spark, data, name, counts, monkeypatch):
     monkeypatch.setattr(DataFrame, "checkpoint", lambda *_: pytest.fail("pairs are written"))
     found = exchanges(spark, catalogue.QUERIES[name], data)
