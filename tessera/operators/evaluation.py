@@ -119,7 +119,7 @@ def failures_of_predictions(truth: DataFrame, predictions: DataFrame, matches: D
 
 def _audit_columns(pairs: DataFrame) -> DataFrame:
     """The best candidates of all stages side by side, as best_of() orders them: one row a ground truth, one struct a stage."""
-    item, order = F.struct("item", "similarity", "passes"), F.struct("similarity", "item.score", "item.id")
+    item, order = F.struct(F.col("item").dropFields("attachment_ids").alias("item"), "similarity", "passes"), F.struct("similarity", "item.score", "item.id")
     return pairs.groupBy("slide_id", "gt_id").agg(*(F.max_by(item, F.when(F.col("stage") == s, order)).alias(n) for n, s in zip(("raw", "snapped", "object", "selected", "emit"), K.STAGES, strict=True)))
 
 

@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..functions import kinds as K
 
 MATCH = "slide_id long, stage string, gt_id string, artifact_id string, similarity double, bucket string, kind string"
@@ -82,26 +83,55 @@ def join_by_slide(left: DataFrame, right: DataFrame, key: str, how: str = "inner
     return left.join(other, (F.col("slide_id") == F.col("other_slide")) & F.col(key).between(F.col("other_key"), F.col("other_key")), how).drop("other_slide", "other_key")
 
 
+def measured(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """`pairs` with `similarity`, K.stage_similarity() of the boxes `a` and `b` of one `kind`, in steps of a few operations: as one expression its
+    generated method is over the 8000 bytes that the JVM compiles, and is interpreted instead. Steps that are used more than once stay columns."""
+    columns, sides = pairs.columns, (("a", F.col(a)), ("b", F.col(b)))
+    either = lambda f: {f"_{n}_{s}": c for s, box in sides for n, c in f(s, box).items()}
+    c = lambda n: (F.col(f"_{n}_a"), F.col(f"_{n}_b"))
+    zero, line, flat = F.lit(0.0), F.col("kind") == "connector", F.col("_flat")
+    rows = pairs.withColumns(either(lambda s, box: {"w": G.width(box), "h": G.height(box)}))
+    rows = rows.withColumns(either(lambda s, box: {"flat": F.col(f"_w_{s}") >= F.col(f"_h_{s}")})).withColumns({"_crossed": F.col("_flat_a") != F.col("_flat_b"), "_flat": F.col("_flat_a")})
+    rows = rows.withColumn("_pad", F.when(line, F.when(F.col("_crossed"), F.lit(8.0)).otherwise(F.lit(6.0))).otherwise(zero))
+    rows = rows.withColumns(either(lambda s, box: {k: box[k] - F.col("_pad") for k in ("x0", "y0")} | {k: box[k] + F.col("_pad") for k in ("x1", "y1")}))
+    share = lambda lo, hi: G.interval_overlap(F.col(f"_{lo}_a"), F.col(f"_{hi}_a"), F.col(f"_{lo}_b"), F.col(f"_{hi}_b"))
+    area = lambda s: F.greatest(zero, F.col(f"_x1_{s}") - F.col(f"_x0_{s}")) * F.greatest(zero, F.col(f"_y1_{s}") - F.col(f"_y0_{s}"))
+    rows = rows.withColumn("_both", share("x0", "x1") * share("y0", "y1")).withColumn("_union", area("a") + area("b") - F.col("_both"))
+    rows = rows.withColumn("_iou", F.when((F.col("_both") <= 0) | (F.col("_union") <= 0), zero).otherwise(F.col("_both") / F.col("_union")))
+    along = lambda s, box: {"lo": F.when(flat, box["x0"]).otherwise(box["y0"]), "hi": F.when(flat, box["x1"]).otherwise(box["y1"]), "size": F.when(flat, F.col(f"_w_{s}")).otherwise(F.col(f"_h_{s}"))}
+    rows = rows.withColumns(either(along)).withColumns(either(lambda s, box: {"mid": F.when(flat, box["y0"] + F.col(f"_h_{s}") / 2).otherwise(box["x0"] + F.col(f"_w_{s}") / 2)}))
+    rows = rows.withColumn("_reference", F.greatest(*c("size"), F.lit(1.0)))
+    orth = F.greatest(zero, F.lit(1.0) - F.abs(c("mid")[0] - c("mid")[1]) / F.lit(26.0))
+    ends = F.abs(c("lo")[0] - c("lo")[1]) + F.abs(c("hi")[0] - c("hi")[1])
+    end = F.greatest(zero, F.lit(1.0) - ends / F.greatest(F.lit(24.0), F.col("_reference") * F.lit(0.7)))
+    rows = rows.withColumn("_along", share("lo", "hi") / F.col("_reference") * F.lit(0.55) + orth * F.lit(0.25) + end * F.lit(0.20))
+    found = F.when(F.col(a).isNull() | F.col(b).isNull(), zero).when(~line, F.col("_iou")).when(F.col("_crossed"), F.col("_iou") * F.lit(0.5)).otherwise(F.greatest("_iou", "_along"))
+    return rows.select(*columns, found.alias("similarity"))
+
+
 def same_kind_pairs(truth: DataFrame, artifacts: DataFrame, attachment_stage: str | None = None, by_slide: bool = False) -> DataFrame:
     """Every ground truth with every evaluable artifact of its slide and kind: similarity, and whether it passes the stage's threshold (and, at `attachment_stage`, the attachments agree)."""
     g = normalised(truth).select("slide_id", "kind", F.col("id").alias("gt_id"), F.col("box").alias("gt_box"), F.col("attachment_ids").alias("ga"))
     a = artifacts.where("evaluable").withColumn("raw_kind", F.col("kind")).withColumn("kind", K.eval_kind(F.col("kind")))
     a = a.select("slide_id", "kind", "stage", F.struct("id", "box", "attachment_ids", "score", "bucket", "raw_kind").alias("item"))
     pairs = join_by_slide(g, a, "kind") if by_slide else g.join(a, ["slide_id", "kind"])
-    pairs = pairs.withColumn("similarity", K.stage_similarity(F.col("kind"), F.col("gt_box"), F.col("kind"), F.col("item.box")))
+    pairs = measured(pairs.withColumn("item_box", F.col("item.box")), "gt_box", "item_box").drop("item_box")
     agree = (F.col("stage") != F.lit(attachment_stage)) | K.attachments_agree(F.col("ga"), F.col("item.attachment_ids")) if attachment_stage else F.lit(True)
     return pairs.withColumn("passes", (F.col("similarity") >= K.threshold(F.col("stage"), F.col("kind"))) & agree).drop("ga")
 
 
 def matches_of(pairs: DataFrame) -> DataFrame:
     """Greedy matches among those of same_kind_pairs() that pass, at stages that support the kind."""
-    fit = pairs.where(F.col("passes") & K.supports(F.col("stage"), F.col("kind")))
-    return folded_matches(fit.select("slide_id", "stage", "gt_id", F.col("item.id").alias("artifact_id"), "similarity", F.col("item.bucket").alias("bucket"), "kind"))
+    fit = F.col("passes") & K.supports(F.col("stage"), F.col("kind"))
+    return folded_matches(pairs.select("slide_id", "stage", "gt_id", F.col("item.id").alias("artifact_id"), "similarity", F.col("item.bucket").alias("bucket"), "kind", fit.alias("fit")), F.col("fit"))
+
 
+def folded_matches(pairs: DataFrame, fit: Column | None = None) -> DataFrame:
+    """The matches of greedy_match() without its shuffle, for pairs that lie by slide: a group's pairs are one array here, folded in the same order.
 
-def folded_matches(pairs: DataFrame) -> DataFrame:
-    """The matches of greedy_match() without its shuffle, for pairs that lie by slide: a group's pairs are one array here, folded in the same order."""
+    Only pairs that `fit` count. They are told apart here: Spark would move a filter below all that `fit` comes from, and compute that again for it."""
     order = F.struct((-F.col("similarity")).alias("order"), "gt_id", "artifact_id", "bucket")
+    order = order if fit is None else F.when(fit, order)
     taken = lambda kept, x: F.exists(kept, lambda k: k["gt_id"].eqNullSafe(x["gt_id"]) | k["artifact_id"].eqNullSafe(x["artifact_id"]))
     groups = pairs.groupBy("slide_id", "stage", "kind").agg(F.sort_array(F.collect_list(order)).alias("all"))
     found = F.aggregate("all", F.filter("all", lambda x: x["gt_id"].isNull() & x["gt_id"].isNotNull()), lambda kept, x: F.when(taken(kept, x), kept).otherwise(F.concat(kept, F.array(x))))

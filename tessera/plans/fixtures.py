@@ -20,7 +20,8 @@ FROM (SELECT slide_id, n, p, u, f, kind, x0, y0, CASE WHEN kind = 'arrow' AND p
     FROM {lineitem}) q0) q
 """
 LAST_TIE = "l_shipdate, l_extendedprice"
-PARTS = 4
+#: Lines a task of by_slide() holds.
+LINES = 25_000
 #: Jittered copies in five stages, with some lost; every ninth kind differs and every seventh attachment.
 ARTIFACTS = f"""
 SELECT slide_id, stage, k, concat('a-', CAST(ord AS STRING)) AS id, ord, CASE WHEN (p + k) % 9 = 0 THEN 'rounded_rect' WHEN kind = 'box' THEN 'container' WHEN kind = 'textbox' THEN 'textbox' ELSE 'connector' END AS kind,
@@ -92,9 +93,11 @@ def artifacts(spark: SparkSession, sf_dir: str, stage: str | None = None) -> Dat
 def by_slide(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """truth() and artifacts() dealt by slide in one exchange that both read: lines that tie in TRUTH's order go on by their other columns, so neither side reads fewer of them.
 
-    There are PARTS times as many partitions as a shuffle has, so that what a task sorts (some ten pairs a line) stays in memory.
+    Partitions follow the count of lines, so that what a task sorts (some ten pairs a line) stays in memory, however many lines there are.
     """
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition(PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // LINES))
+    lines = lines.repartition(parts, "l_orderkey")
     whole = lambda sql: spark.sql(sql.replace(LAST_TIE, f"{LAST_TIE}, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus"), lineitem=lines)
     return _truth(whole(TRUTH)), _artifacts(whole(ARTIFACTS))
 

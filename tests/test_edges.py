@@ -59,6 +59,18 @@ def test_folded_matches_are_the_greedy_ones(spark):
     assert sorted(tuple(r) for r in matching.folded_matches(df).select(*df.columns).collect()) == want and want
 
 
+def test_measured_is_the_similarity_in_steps(spark):
+    rng = np.random.default_rng(2)
+    box = lambda: None if rng.random() < 0.1 else (lambda x, y, w, h: B(x, y, x + w, y + h))(*rng.integers(0, 40, 2), *rng.integers(-2, 40, 2) / 3)
+    rows = [(str(rng.choice(["connector", "container", "textbox"])), box(), box()) for _ in range(3000)]
+    pairs = spark.createDataFrame(rows, f"kind string, one {G.BOX}, other {G.BOX}")
+    whole = K.stage_similarity(F.col("kind"), F.col("one"), F.col("kind"), F.col("other"))
+    found = matching.measured(pairs.withColumn("whole", whole), "one", "other")
+    assert found.columns == ["kind", "one", "other", "whole", "similarity"]
+    got = [(r.whole, r.similarity) for r in found.collect()]
+    assert all(a == b for a, b in got) and len({a for a, _ in got}) > 500
+
+
 def test_contextual_ties_within_rounding(spark):
     left = spark.createDataFrame([item("", "g", "box", B(0, 0, 10, 10))], ITEM)
     wide = [item("", k, "box", B(0, 0, 10, 5.0 + d)) for k, d in (("z", 2e-9), ("a", 0.0), ("m", 1e-9), ("b", -1.0))]

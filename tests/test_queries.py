@@ -6,6 +6,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 import __spark_entry__ as entry
 from compare import duck, spark_rows
 from tessera.plans import catalogue
+from tessera.plans import fixtures as X
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
@@ -48,3 +49,23 @@ def test_audits_shuffle_lines_only(spark, data, name, counts, monkeypatch):
     found = exchanges(spark, catalogue.QUERIES[name], data)
     assert {x for x in found if x[1] != "ENSURE_REQUIREMENTS"} == {("hashpartitioning", "REPARTITION_BY_NUM")}
     assert sum(x[1] == "ENSURE_REQUIREMENTS" for x in found) == counts  # of the counts at the end
+
+
+def test_lines_of_a_task_are_bounded(spark, data, monkeypatch):
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    parts = lambda: {df.rdd.getNumPartitions() for df in X.by_slide(spark, data)}
+    assert parts() == {4}  # the shuffle's, while they do
+    monkeypatch.setattr(X, "LINES", 500)
+    assert parts() == {-(-lines // 500)}
+
+
+@pytest.mark.parametrize("name", ["geometry_audit", "audit_status_counts", "snap_effects"])
+def test_audits_run_compiled(spark, data, name):
+    """The JVM interprets methods of more than 8000 bytes."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = spark._jvm.PythonSQLUtils.explainString(catalogue.QUERIES[name](spark, data)._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000
