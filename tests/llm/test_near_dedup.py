@@ -87,3 +87,16 @@ def test_components_of_paths_and_stars(spark):
 
 def test_query_equals_its_sql(spark, data):
     assert spark_rows(near_dedup.query(spark, data)) == duck(near_dedup.SQL, data)
+
+
+def test_links_of_one_partition_need_no_steps(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    pairs = [(int(a) * 7 - 900, int(b) * 7 - 900) for a, b in rng.integers(0, 900, (600, 2))] + [(10**6 + i, 10**6 + i + 1) for i in range(300)] + [(2 * 10**6, 10**6 - 5 * i) for i in range(99)] + [(5, 5), (None, 3), (4, None)]
+    links = spark.createDataFrame(pairs, "u long, v long").repartition(3)
+    steps, write = [], type(links).checkpoint
+    monkeypatch.setattr(type(links), "checkpoint", lambda df, *a: steps.append(1) or write(df, *a))
+    found = sorted(components(links).collect())
+    assert len(steps) == 1 and len({r.root for r in found}) > 10
+    monkeypatch.setattr("tessera.llm.components.ROWS", 100)
+    assert sorted(components(links).collect()) == found and len(steps) > 3
+    assert components(links.where("u = 5")).collect() == []
