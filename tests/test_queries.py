@@ -1,4 +1,6 @@
 import re
+from collections import Counter
+from functools import reduce
 
 import pytest
 from pyspark.sql.classic.dataframe import DataFrame
@@ -69,3 +71,46 @@ def test_audits_run_compiled(spark, data, name):
         spark.conf.unset("spark.sql.adaptive.enabled")
     sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
     assert sizes and max(sizes) < 8000
+
+
+def written(spark, run):
+    """What `run` writes to shuffles, in bytes."""
+    context = spark.sparkContext
+    context.setJobGroup(run.__name__, "")
+    run()
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(run.__name__) for s in tracker.getJobInfo(j).stageIds}
+    context.setLocalProperty("spark.jobGroup.id", None)
+    return sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+
+
+def test_audits_shuffle_packed_lines(spark, data):
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").count()
+
+    def counted():
+        catalogue.QUERIES["snap_effects"](spark, data).collect()
+
+    def as_they_are():
+        spark.read.parquet(f"{data}/lineitem.parquet").repartition(4, "l_orderkey").write.format("noop").mode("overwrite").save()
+
+    assert 10 * lines < written(spark, counted) < 0.75 * written(spark, as_they_are)
+
+
+def test_lines_come_back_from_packing(spark, data):
+    lines = spark.read.parquet(f"{data}/lineitem.parquet")
+    one = {k: f"{k}" for k in lines.columns} | {"l_extendedprice": "CAST(901.5 AS DOUBLE)", "l_quantity": "CAST(17 AS DOUBLE)"}
+    odd = [
+        {}, {"l_partkey": "NULL"}, {"l_partkey": "-1"}, {"l_partkey": "2147483647"}, {"l_partkey": "2147483648"}, {"l_suppkey": "16777215"}, {"l_suppkey": "16777216"}, {"l_linenumber": "255"}, {"l_linenumber": "256"}, {"l_linenumber": "-3"},
+        {"l_quantity": "0.5"}, {"l_quantity": "255"}, {"l_quantity": "256"}, {"l_quantity": "NULL"}, {"l_extendedprice": "'NaN'"}, {"l_extendedprice": "'Infinity'"}, {"l_extendedprice": "1e300"}, {"l_extendedprice": "42949672.95"},
+        {"l_extendedprice": "42949672.96"}, {"l_extendedprice": "0.001"}, {"l_extendedprice": "-5"}, {"l_discount": "0.07"}, {"l_discount": "0.070000001"}, {"l_tax": "2.55"}, {"l_tax": "2.56"}, {"l_tax": "NULL"}, {"l_returnflag": "''"},
+        {"l_returnflag": "'RR'"}, {"l_returnflag": "'é'"}, {"l_returnflag": "'ж'"}, {"l_linestatus": "NULL"}, {"l_shipdate": "'1969-12-31 00:00:00'"}, {"l_shipdate": "'1996-03-13 00:00:01'"}, {"l_shipdate": "'9999-12-31 00:00:00'"}, {"l_shipdate": "NULL"},
+    ]
+    rows = lines.limit(1)
+    rows = [rows.selectExpr(*(f"CAST({v} AS {t}) AS {k}" for (k, v), t in zip((one | x).items(), dict(lines.dtypes).values(), strict=True))) for x in odd]
+    rows = reduce(lambda a, b: a.union(b), [*rows, lines])
+    found = X.unpacked(X.packed(rows), dict(lines.dtypes)).select(*rows.columns)
+    assert found.dtypes == rows.dtypes and Counter(map(str, found.collect())) == Counter(map(str, rows.collect()))
+    assert X.packed(lines).where("plain is not null").isEmpty()
+    kept = X.packed(rows).where("plain is not null").count()
+    assert 20 <= kept < len(odd)
