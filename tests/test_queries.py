@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 from functools import reduce
+from uuid import uuid4
 
 import pytest
 from pyspark.sql.classic.dataframe import DataFrame
@@ -76,20 +77,22 @@ def test_audits_run_compiled(spark, data, name):
 def written(spark, run):
     """What `run` writes to shuffles, in bytes."""
     context = spark.sparkContext
-    context.setJobGroup(run.__name__, "")
+    group = f"{run.__name__} {uuid4()}"
+    context.setJobGroup(group, "")
     run()
     context._jsc.sc().listenerBus().waitUntilEmpty()
     tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
-    stages = {s for j in tracker.getJobIdsForGroup(run.__name__) for s in tracker.getJobInfo(j).stageIds}
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
     context.setLocalProperty("spark.jobGroup.id", None)
     return sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
 
 
-def test_audits_shuffle_packed_lines(spark, data):
+@pytest.mark.parametrize("name", ["snap_effects", "audit_status_counts"])
+def test_audits_shuffle_packed_lines(spark, data, name):
     lines = spark.read.parquet(f"{data}/lineitem.parquet").count()
 
     def counted():
-        catalogue.QUERIES["snap_effects"](spark, data).collect()
+        catalogue.QUERIES[name](spark, data).collect()
 
     def as_they_are():
         spark.read.parquet(f"{data}/lineitem.parquet").repartition(4, "l_orderkey").write.format("noop").mode("overwrite").save()
