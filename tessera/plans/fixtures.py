@@ -90,12 +90,11 @@ def artifacts(spark: SparkSession, sf_dir: str, stage: str | None = None) -> Dat
     return rows if stage is None else rows.where(F.col("stage") == stage)
 
 
-#: Columns of a line that packed() puts into each of its longs: name, bits, units in one.
-PACKED = {
-    "ids": [("l_partkey", 31, 1), ("l_suppkey", 24, 1), ("l_linenumber", 8, 1)],
-    "amounts": [("l_extendedprice", 32, 100), ("l_quantity", 8, 1), ("l_discount", 8, 100), ("l_tax", 8, 100)],
-    "marks": [("l_shipdate", 24, "date"), ("l_returnflag", 8, "char"), ("l_linestatus", 8, "char")],
-}
+#: Columns of a line that packed() puts into longs: name, bits at most, units in one.
+PACKED = [
+    ("l_extendedprice", 32, 100), ("l_partkey", 31, 1), ("l_suppkey", 24, 1), ("l_linenumber", 8, 1), ("l_quantity", 8, 1), ("l_discount", 8, 100), ("l_tax", 8, 100),
+    ("l_shipdate", 24, "date"), ("l_returnflag", 8, "char"), ("l_linestatus", 8, "char"),
+]
 
 
 def _units(name: str, unit: int | str) -> Column:
@@ -107,29 +106,67 @@ def _value(n: Column, unit: int | str, kind: str) -> Column:
     return (F.date_from_unix_date(n.cast("int")) if unit == "date" else F.char(n) if unit == "char" else n if unit == 1 else n.cast("double") / F.lit(unit)).cast(kind)
 
 
-def packed(lines: DataFrame) -> DataFrame:
-    """Lines as l_orderkey and three longs, which take four tenths less in a shuffle. Lines with a value that would not come back equal keep all their columns in `plain`."""
-    kinds, longs, same = dict(lines.dtypes), [], F.lit(True)
-    for long, fields in PACKED.items():
-        whole = F.lit(0).cast("long")
-        for name, bits, unit in fields:
-            n = _units(name, unit)
-            same &= n.between(0, 2**bits - 1) & (_value(n, unit, kinds[name]) == F.col(name))
-            whole = F.shiftleft(whole, bits).bitwiseOR(n)
-        longs.append(whole.alias(long))
-    same, names = F.coalesce(same, F.lit(False)), [name for fields in PACKED.values() for name, _, _ in fields]
-    return lines.select("l_orderkey", *(F.when(same, long).alias(name) for name, long in zip(PACKED, longs, strict=True)), F.when(~same, F.struct(*names)).alias("plain"))
-
-
-def unpacked(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """The lines that packed() was given; `kinds` are their types."""
+def _measured(lines: DataFrame) -> DataFrame:
+    """Lines with their values in units, named _{name}; null where a value would not come back equal."""
+    kinds, names = dict(lines.dtypes), ["l_orderkey", *(name for name, _, _ in PACKED)]
+    rows = lines.select(*names, *(_units(name, unit).alias(f"_{name}") for name, _, unit in PACKED))
+    same = lambda n, name, bits, unit: n.between(0, 2**bits - 1) & (_value(n, unit, kinds[name]) == F.col(name))
+    return rows.select(*names, *(F.when(same(F.col(f"_{name}"), name, bits, unit), F.col(f"_{name}")).alias(f"_{name}") for name, bits, unit in PACKED))
+
+
+def bounds_of(lines: DataFrame) -> tuple[int, dict[str, tuple[int, int]]]:
+    """The count of lines, and the least and the greatest units of each packed column."""
+    ends = [f(f"_{name}").alias(f"{end}_{name}") for name, _, _ in PACKED for end, f in (("low", F.min), ("high", F.max))]
+    found = _measured(lines).agg(F.count("*").alias("n"), *ends).na.fill(0).first()
+    return found["n"], {name: (found[f"low_{name}"], found[f"high_{name}"]) for name, _, _ in PACKED}
+
+
+def _places(bounds: dict[str, tuple[int, int]] | None) -> tuple[list[tuple[str, int | str, int, int, int, int]], int]:
+    """Name, unit, least and greatest units, bits and first bit of each packed column, and all bits. Without bounds they have the bits that PACKED allows."""
+    places, at = [], 0
+    for name, most, unit in PACKED:
+        low, high = (0, 2**most - 1) if bounds is None else bounds[name]
+        places.append((name, unit, low, high, (high - low).bit_length(), at))
+        at += places[-1][4]
+    return places, at
+
+
+def packed(lines: DataFrame, bounds: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """Lines as l_orderkey and, bit by bit, as few longs as their bounds need, which take some four tenths in a shuffle. Lines with a value out of bounds, or one that would not come back equal, keep all their columns in `plain`.
+
+    The last long is filled from its top and stands first: its zeros then join those around the key, and compress as one run."""
+    places, bits = _places(bounds)
+    longs = [F.lit(0).cast("long") for _ in range(-(-bits // 64))]
+    for name, _, low, _, wide, at in places:
+        n, (i, shift) = F.col(f"_{name}") - F.lit(low), divmod(at, 64)
+        if wide:
+            longs[i] = longs[i].bitwiseOR(F.shiftleft(n, shift))
+        if shift + wide > 64:
+            longs[i + 1] = longs[i + 1].bitwiseOR(F.shiftright(n, 64 - shift))
+    if longs:
+        longs[-1] = F.shiftleft(longs[-1], -bits % 64)
+    same = F.lit(True)
+    for name, _, low, high, _, _ in places:
+        same &= F.coalesce(F.col(f"_{name}").between(low, high), F.lit(False))
+    rows = _measured(lines).withColumn("_same", same)
+    columns = [F.when(F.col("_same"), long).alias(f"long{i}") for i, long in enumerate(longs)]
+    return rows.select(*reversed(columns), "l_orderkey", F.when(~F.col("_same"), F.struct(*(name for name, _, _ in PACKED))).alias("plain"))
+
+
+def unpacked(rows: DataFrame, kinds: dict[str, str], bounds: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """The lines that packed() was given, with the same bounds; `kinds` are their types."""
+    places, bits = _places(bounds)
+    longs = [F.col(f"long{i}") for i in range(-(-bits // 64))]
+    if longs:
+        longs[-1] = F.shiftrightunsigned(longs[-1], -bits % 64)
     columns = []
-    for long, fields in PACKED.items():
-        at = 0
-        for name, bits, unit in reversed(fields):
-            n = F.shiftright(F.col(long), at).bitwiseAND(F.lit(2**bits - 1).cast("long"))
-            columns.append(F.when(F.col("plain").isNull(), _value(n, unit, kinds[name])).otherwise(F.col(f"plain.{name}")).alias(name))
-            at += bits
+    for name, unit, low, _, wide, at in places:
+        n, (i, shift) = F.lit(low).cast("long"), divmod(at, 64)
+        if wide:
+            whole = F.shiftrightunsigned(longs[i], shift)
+            whole = whole.bitwiseOR(F.shiftleft(longs[i + 1], 64 - shift)) if shift + wide > 64 else whole
+            n = whole.bitwiseAND(F.lit(2**wide - 1).cast("long")) + n
+        columns.append(F.when(F.col("plain").isNull(), _value(n, unit, kinds[name])).otherwise(F.col(f"plain.{name}")).alias(name))
     return rows.select("l_orderkey", *columns)
 
 
@@ -139,8 +176,9 @@ def by_slide(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     Partitions follow the count of lines, so that what a task sorts (some ten pairs a line) stays in memory, however many lines there are.
     """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // LINES))
-    lines = unpacked(packed(lines).repartition(parts, "l_orderkey"), dict(lines.dtypes))
+    count, bounds = bounds_of(lines)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // LINES))
+    lines = unpacked(packed(lines, bounds).repartition(parts, "l_orderkey"), dict(lines.dtypes), bounds)
     whole = lambda sql: spark.sql(sql.replace(LAST_TIE, f"{LAST_TIE}, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus"), lineitem=lines)
     return _truth(whole(TRUTH)), _artifacts(whole(ARTIFACTS))
 

@@ -117,3 +117,29 @@ def test_lines_come_back_from_packing(spark, data):
     assert X.packed(lines).where("plain is not null").isEmpty()
     kept = X.packed(rows).where("plain is not null").count()
     assert 20 <= kept < len(odd)
+
+
+def test_audits_shuffle_the_bits_that_lines_need(spark, data):
+    def counted():
+        catalogue.QUERIES["audit_status_counts"](spark, data).collect()
+
+    def as_they_are():
+        spark.read.parquet(f"{data}/lineitem.parquet").repartition(4, "l_orderkey").write.format("noop").mode("overwrite").save()
+
+    assert written(spark, counted) < 0.5 * written(spark, as_they_are)
+
+
+def test_lines_come_back_from_their_bounds(spark, data):
+    lines = spark.read.parquet(f"{data}/lineitem.parquet")
+    kinds, some = dict(lines.dtypes), lines.where("l_linenumber = 3 AND l_partkey > 9 AND l_returnflag <> 'R'")
+    count, bounds = X.bounds_of(some)
+    low = {"l_partkey": "min(l_partkey)", "l_quantity": "CAST(min(l_quantity) AS BIGINT)", "l_extendedprice": "CAST(round(min(l_extendedprice) * 100) AS BIGINT)", "l_shipdate": "unix_date(CAST(min(l_shipdate) AS DATE))"}
+    assert count == some.count() > 0 and {k: bounds[k][0] for k in low} == some.selectExpr(*(f"{v} AS {k}" for k, v in low.items())).first().asDict()
+    assert X.packed(some, bounds).where("plain IS NOT NULL").isEmpty() and not X.packed(lines, bounds).where("plain IS NOT NULL").isEmpty()
+    wide = {name: (0, 2**most - 1) for name, most, _ in X.PACKED}
+    nothing = X.bounds_of(lines.limit(0))
+    assert nothing == (0, dict.fromkeys(wide, (0, 0)))
+    one = lines.limit(1)
+    for rows, b in ((some, bounds), (lines, bounds), (lines, wide), (lines, nothing[1]), (one, X.bounds_of(one)[1]), *((lines, X.bounds_of(lines)[1] | {k: wide[k]}) for k in wide)):
+        found = X.unpacked(X.packed(rows, b), kinds, b).select(*rows.columns)
+        assert found.dtypes == rows.dtypes and found.exceptAll(rows).isEmpty() and rows.exceptAll(found).isEmpty()
